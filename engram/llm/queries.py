@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import chat, mixing, tokens
+from engram.llm import chat, mixing, neural_lm, order_minhash, tokens, toxicity
 from engram.session import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neural_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -24,6 +32,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(conversations.unionByName(extra)))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_per_document(mixing.mix(table(spark, sf_dir, "documents")))
 
@@ -43,8 +55,11 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(told) AS turns_sha256, length
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_order_minhash": op3_order_minhash,
+        "op5_lm_scoring": op5_lm_scoring,
         "op7_token_counts": op7_token_counts,
         "op8_chat_formatting": op8_chat_formatting,
+        "op9_toxicity": op9_toxicity,
         "op10_source_mixing": op10_source_mixing,
     }
 

@@ -14,6 +14,7 @@ such place, it is doubled, up to the whole rest.
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
 from collections.abc import Iterator
@@ -27,13 +28,13 @@ from engram.llm.textops import limit_arrow
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 MARGIN_CHARS = 64
-CACHE_PARTS = 300_000
+CACHE_PARTS = 400_000
+SPECIAL_MARK = "<|"
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s$")
 # letters below U+0250, then marks that open a piece of their own and belong to no contraction or special string
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, PartCounter] = {}
 
 
 def byte_letters() -> dict[int, str]:
@@ -47,23 +48,20 @@ _BYTES = byte_letters()
 _AS_TEXT = [_BYTES[b] for b in range(256)]
 
 
-def load(path: str):
+def load(path: str) -> PartCounter:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if path not in _loaded:
-        _loaded[path] = (Tokenizer.from_file(path), {}, {})
+        _loaded[path] = PartCounter(Tokenizer.from_file(path))
     return _loaded[path]
 
 
-def piece_starts(encoding) -> list[tuple[int, int]]:
-    """(character, token number) of each token that opens a piece."""
-    out, last = [], object()
-    for k, (word, (start, _)) in enumerate(zip(encoding.word_ids, encoding.offsets, strict=True)):
-        if word is None or word != last:
-            out.append((start, k))
-        last = word
-    return out
+def piece_starts(encoding, least: int = 0) -> list[tuple[int, int]]:
+    """(character, token number) of each token that opens a piece at character ``least`` or later."""
+    offsets, pieces = encoding.offsets, encoding.word_ids
+    first = bisect.bisect_left(offsets, (least, 0))
+    return [(offsets[k][0], k) for k in range(first, len(offsets)) if pieces[k] is None or k == 0 or pieces[k] != pieces[k - 1]]
 
 
 def count_spliced(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, margin: int = MARGIN_CHARS) -> int:
@@ -79,7 +77,7 @@ def count_spliced(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int =
             stop = min(len(text), begin + max(chunk, 2 * width))
             after = encode(begin, stop)
             # the last pieces of a chunk may go on behind its end
-            here = {start + at: k for at, k in piece_starts(now)[:-2] if start + at <= end - margin and k >= first}
+            here = {start + at: k for at, k in piece_starts(now, begin - start)[:-2] if start + at <= end - margin and k >= first}
             place = next(((k, here[begin + at]) for at, k in piece_starts(after)[1:] if begin + at in here), None)
             if place is not None:
                 break
@@ -97,48 +95,76 @@ def count_spliced(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int =
 
 def parts_of(text: str) -> list[str]:
     """The text's independent parts; all but the first get their space back when they are encoded."""
-    return text.split(" ") if not _ODD.search(text) else _CUT.split(text)
+    return _CUT.split(text)
+
+
+class PartCounter:
+    """Counts the tokens of texts from the counts of their parts, each of which the library gives once."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.merge = tokenizer, tokenizer.model.tokenize
+        self.spaced: dict[str, int] = {}  # parts that follow a space
+        self.bare: dict[str, int] = {}  # parts that follow a line end
+
+    def encoded(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False))
+
+    def piece(self, part: str, space: str) -> int:
+        if (m := _PLAIN.fullmatch(part)) is None:
+            return self.encoded(space + part)
+        letters, marks = m.groups()
+        known = self.spaced if space else self.bare
+        if (n := known.get(letters)) is None:
+            n = known[letters] = len(self.merge("".join(map(_AS_TEXT.__getitem__, (space + letters).encode()))))
+        if marks:
+            if (k := self.bare.get(marks)) is None:
+                k = self.bare[marks] = self.encoded(marks)
+            n += k
+        return n
+
+    def learn(self, part: str) -> bool:
+        """False if the part is empty or has white space at an end: then its text has other parts."""
+        if not part or part != part.strip():
+            return False
+        lines = part.split("\n")
+        if len(lines) == 1:
+            self.spaced[part] = self.piece(part, " ")
+            return True
+        if any(not x or x != x.strip() for x in lines) or SPECIAL_MARK in part:
+            self.spaced[part] = self.encoded(" " + part)
+            return True
+        # a single line end between two other characters is a piece of its own
+        n = self.spaced[lines[0]] = self.piece(lines[0], " ")
+        for x in lines[1:]:
+            if (k := self.bare.get(x)) is None:
+                k = self.bare[x] = self.piece(x, "")
+            n += k + self.line_end
+        self.spaced[part] = n
+        return True
+
+    def count(self, text: str) -> int:
+        self.line_end = self.bare.get("\n") or self.bare.setdefault("\n", self.encoded("\n"))
+        first, *rest = text.split(" ")
+        if len(self.spaced) + len(self.bare) > CACHE_PARTS:
+            self.spaced.clear()
+            self.bare.clear()
+        spaced = self.spaced
+        if first and first == first.strip() and all(p in spaced or self.learn(p) for p in set(rest)):
+            return self.encoded(first) + sum(map(spaced.__getitem__, rest))
+        first, *rest = parts_of(text)
+        return self.encoded(first) + sum(spaced[p] if p in spaced else self.encoded(" " + p) for p in rest)
 
 
 def counter(path: str, chunk_chars: int, overlap_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, cache, tails = load(path)
-        merge = tokenizer.model.tokenize
-
-        def learn(parts: set[str]) -> None:
-            odd = []
-            for p in parts:
-                if p in cache:
-                    continue
-                if (m := _PLAIN.fullmatch(p)) is None:
-                    odd.append(p)
-                    continue
-                letters, marks = m.groups()
-                if (n := cache.get(letters)) is None:
-                    piece = " " + letters
-                    shown = "\u0120" + letters if letters.isascii() else "".join(_AS_TEXT[b] for b in piece.encode())
-                    n = cache[letters] = len(merge(shown))
-                if marks:
-                    if (k := tails.get(marks)) is None:
-                        if len(tails) > CACHE_PARTS:
-                            tails.clear()
-                        k = tails[marks] = len(tokenizer.encode(marks, add_special_tokens=False))
-                    cache[p] = n + k
-            for i in range(0, len(odd), 4096):
-                some = odd[i : i + 4096]
-                for p, e in zip(some, tokenizer.encode_batch_fast([" " + p for p in some], add_special_tokens=False), strict=True):
-                    cache[p] = len(e)
+        parts = load(path)
 
         def count(text: str) -> int:
             if not text:
                 return 0
             if len(text) > chunk_chars:
-                return count_spliced(tokenizer, text, chunk_chars, overlap_chars)
-            first, *rest = parts_of(text)
-            if len(cache) > CACHE_PARTS:
-                cache.clear()
-            learn(set(rest))
-            return len(tokenizer.encode(first, add_special_tokens=False)) + sum(map(cache.__getitem__, rest))
+                return count_spliced(parts.tokenizer, text, chunk_chars, overlap_chars)
+            return parts.count(text)
 
         for batch in batches:
             counts = [count(t or "") for t in batch.column("text").to_pylist()]
