@@ -19,7 +19,7 @@ from engram.session import materialise
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
