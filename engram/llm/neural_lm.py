@@ -1,13 +1,13 @@
 """A log-bilinear language model (Mnih and Hinton, 2007), trained with noise-contrastive estimation (Mnih and Teh, 2012).
 
 Units: the ``SHORTLIST`` most frequent words, ``BUCKETS`` groups of all other words by their first two bytes, and the end
-of a text. The context is the word before and, read more coarsely, the one before that; its vectors are added and
-multiplied with the unit's. Training runs over all training texts in ``ROUNDS`` rounds: each task starts from the common
-weights, makes one pass over its rows and returns its weights, which are averaged by the number of tokens.
+of a text. The context is the unit before (or the start). Training reads all training texts: the tasks count every pair of
+neighbouring units, and the driver climbs the contrastive objective over that table, whose size the shortlist bounds. The
+noise is the units' own distribution, ``NOISE`` noise words to a true one, taken by expectation instead of sampling.
 
-Probabilities are normalised: the sum over all units is computed once for every possible context by batched matrix
-products. A word of a bucket has the bucket's probability times (c + 0.5) / (N_b + 0.5 (V_b + 1)), where c is its count and
-N_b and V_b count the bucket's words; the rest is left for words never seen.
+Probabilities are normalised: batched matrix products give the sums over all units for every context. A word of a bucket has
+the bucket's probability times (c + 0.5) / (N_b + 0.5 (V_b + 1)), where c is its count and N_b and V_b count the bucket's
+words; the rest is left for words never seen.
 
 Counts are over all training texts. Those of the ``FREQUENT`` most frequent words are broadcast (a few MB at any input size);
 the other words of a text are joined to their counts by hash. Words are told apart by a 64-bit hash.
@@ -30,12 +30,9 @@ SHORTLIST = 2048
 BUCKETS = 64
 FREQUENT = 1 << 18
 DIM = 24
-ROUNDS = 2
-NOISE = 64
-BATCH = 4096
+NOISE = 100
+STEPS = 60
 RATE = 0.15
-_COARSE_WORDS = 31
-_COARSE = _COARSE_WORDS + 1 + BUCKETS // 2  # frequent words, the start, halved buckets
 _CHUNK_WORDS = 1 << 21
 _LOG10 = np.log(10.0)
 
@@ -116,11 +113,6 @@ class Vocabulary:
         self.end = self.short + BUCKETS
         self.units = self.end + 1
         self.begin = self.units  # a context, never predicted
-        coarse = np.zeros(self.units + 1, dtype=np.int64)
-        coarse[: self.short] = np.where(np.arange(self.short) < _COARSE_WORDS, np.arange(self.short), _COARSE_WORDS + 1 + self.bucket_short // 2)
-        coarse[self.short : self.end] = _COARSE_WORDS + 1 + np.arange(BUCKETS) // 2
-        coarse[self.end :] = _COARSE_WORDS
-        self.coarse = coarse
 
     def frequencies(self) -> np.ndarray:
         """Smoothed shares of the units in the training texts: the noise distribution."""
@@ -135,154 +127,91 @@ class Vocabulary:
         hit = self.hashes[at] == hashes
         return np.where(hit, self.rank[at], -1), np.where(hit, self.counts[at], 0)
 
-    def sequence(self, ranks: np.ndarray, buckets: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(unit, unit before, coarse unit before that, row) of all words and ends, text by text."""
+    def sequence(self, ranks: np.ndarray, buckets: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, unit before, row) of all words and ends, text by text."""
         unit = np.where((ranks >= 0) & (ranks < self.short), ranks, self.short + buckets)
         lengths = np.bincount(rows, minlength=n_rows) if len(rows) else np.zeros(n_rows, np.int64)
         n = len(unit) + n_rows
         row = np.repeat(np.arange(n_rows), lengths + 1)
-        last = np.cumsum(lengths + 1) - 1
-        out = np.empty(n, dtype=np.int64)
         is_end = np.zeros(n, dtype=bool)
-        is_end[last] = True
+        is_end[np.cumsum(lengths + 1) - 1] = True
+        out = np.empty(n, dtype=np.int64)
         out[is_end], out[~is_end] = self.end, unit
         before = np.full(n, self.begin)
         before[1:] = np.where(is_end[:-1], self.begin, out[:-1])
-        earlier = np.full(n, self.begin)
-        earlier[1:] = np.where(is_end[:-1], self.begin, before[:-1])
-        return out, before, self.coarse[earlier], row
-
-
-# weights: a row per unit (vector and bias), then per context unit, then per coarse unit
+        return out, before, row
 
 
-def initial(vocabulary: Vocabulary, seed: int = 11) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    n = vocabulary.units
-    w = rng.normal(0, 0.1, (n + n + 1 + _COARSE, DIM + 1)).astype(np.float32)
-    w[:n, DIM] = np.log(vocabulary.frequencies())
-    w[n:, DIM] = 0
-    return w
-
-
-def _scatter(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-    """One Adagrad step on the given rows; repeated rows add up."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
-    sorted_rows = rows[order]
-    begin = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
-    g = np.add.reduceat(gradient[order], begin, axis=0)
-    at = sorted_rows[begin]
-    squares[at] += g * g
-    weights[at] += RATE * g / np.sqrt(squares[at])
-
-
-def train_pass(weights: np.ndarray, units: int, noise: np.ndarray, out: np.ndarray, before: np.ndarray, earlier: np.ndarray, squares: np.ndarray, rng: np.random.Generator) -> None:
-    """One pass of noise-contrastive estimation in place; every batch shares its noise words."""
-    log_noise = np.log(NOISE * noise).astype(np.float32)
-    cumulated = np.cumsum(noise)
-    cumulated[-1] = 1.0
-    order = rng.permutation(len(out))
-    for i in range(0, len(order), BATCH):
-        pick = order[i : i + BATCH]
-        o, c, e = out[pick], before[pick] + units, earlier[pick] + 2 * units + 1
-        drawn = np.searchsorted(cumulated, rng.random(NOISE), side="right")
-        q = weights[c, :DIM] + weights[e, :DIM]
-        r, rn = weights[o], weights[drawn]
-        true = (q * r[:, :DIM]).sum(axis=1) + r[:, DIM] - log_noise[o]
-        false = q @ rn[:, :DIM].T + rn[:, DIM] - log_noise[drawn]
-        up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        grad_q = up[:, None] * r[:, :DIM] + down @ rn[:, :DIM]
-        grad_r = np.empty((len(pick), DIM + 1), dtype=np.float32)
-        grad_r[:, :DIM], grad_r[:, DIM] = up[:, None] * q, up
-        grad_n = np.empty((NOISE, DIM + 1), dtype=np.float32)
-        grad_n[:, :DIM], grad_n[:, DIM] = down.T @ q, down.sum(axis=0)
-        wide = np.zeros((len(pick), DIM + 1), dtype=np.float32)
-        wide[:, :DIM] = grad_q
-        rows = np.concatenate([o, drawn, c, e])
-        _scatter(weights, squares, rows, np.concatenate([grad_r, grad_n, wide, wide]))
-
-
-def _trainer(vocabulary, weights, round_number: int):
+def _pairs(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w = vocabulary.value, weights.value.copy()
-        squares = np.full(w.shape, 1.0, dtype=np.float32)
-        noise, rng, seen = v.frequencies(), np.random.default_rng(round_number), 0
-        held: list = []
-
-        def learn() -> int:
-            out, before, earlier = (np.concatenate(x) for x in zip(*held, strict=True))
-            train_pass(w, v.units, noise, out, before, earlier, squares, rng)
-            held.clear()
-            return len(out)
-
+        v = vocabulary.value
+        total = np.zeros((v.units + 1) * v.units, dtype=np.int64)
         for batch in batches:
             data, offs = textops.text_buffers(batch.column(0))
             for i, j in textops.slices(offs):
                 part, at = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 h, rows, starts, ends = textops.words(part, at)
                 ranks, _ = v.look_up(h)
-                held.append(v.sequence(ranks, buckets_of(part, starts, ends), rows, j - i)[:3])
-                if sum(len(x[0]) for x in held) > 1 << 19:
-                    seen += learn()
-        if held:
-            seen += learn()
-        if seen:
-            delta = (w - weights.value) * np.float32(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w)), pa.int64()), pa.array(np.full(len(w), seen), pa.int64()), pa.array([x.tobytes() for x in delta], pa.binary())], ["row", "seen", "delta"])
+                out, before, _ = v.sequence(ranks, buckets_of(part, starts, ends), rows, j - i)
+                pair, n = np.unique(before * v.units + out, return_counts=True)
+                total[pair] += n
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["pair", "n"])
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, list] = {}
-    for batch in batches:
-        for row, seen, delta in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            x = np.frombuffer(delta, dtype=np.float32).astype(np.float64)
-            if row in total:
-                total[row][0] += seen
-                total[row][1] += x
-            else:
-                total[row] = [seen, x]
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([s for s, _ in total.values()], pa.int64()), pa.array([x.tobytes() for _, x in total.values()], pa.binary())], ["row", "seen", "delta"])
-
-
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Average of the weights that the tasks reach on their rows, ``rounds`` times over."""
-    sc = docs.sparkSession.sparkContext
-    weights, schema = initial(vocabulary), "row long, seen long, delta binary"
-    shared_vocabulary = sc.broadcast(vocabulary)
-    for k in range(rounds):
-        shared = sc.broadcast(weights)
-        deltas = limit_arrow(docs).select("text").mapInArrow(_trainer(shared_vocabulary, shared, k), schema)
-        found = deltas.repartition("row").mapInArrow(_summed, schema).toArrow()  # a row per row of the weights
-        weights = weights.copy()
-        for row, seen, delta in zip(*(found.column(c).to_pylist() for c in ("row", "seen", "delta")), strict=True):
-            weights[row] += (np.frombuffer(delta, dtype=np.float64) / seen).astype(np.float32)
-        shared.unpersist()
-    return weights
-
-
-def normalisers(weights: np.ndarray, units: int) -> np.ndarray:
-    """Log of the sum over all units for each context (unit before, coarse unit before that)."""
-    out = np.empty((units + 1, _COARSE), dtype=np.float32)
-    r, bias = weights[:units, :DIM], weights[:units, DIM]
-    near, far = weights[units : 2 * units + 1, :DIM], weights[2 * units + 1 :, :DIM]
-    step = 64
-    for i in range(0, units + 1, step):
-        q = (near[i : i + step, None] + far[None]).reshape(-1, DIM)
-        s = q @ r.T + bias
-        top = s.max(axis=1)
-        out[i : i + step] = (np.log(np.exp(s - top[:, None]).sum(axis=1)) + top).reshape(-1, _COARSE)
-    return out
+def count_pairs(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """How often each unit (column) follows each context (row) in the texts of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    found = limit_arrow(docs).select("text").mapInArrow(_pairs(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros((vocabulary.units + 1) * vocabulary.units, dtype=np.float32)
+    table[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return table.reshape(vocabulary.units + 1, vocabulary.units)
+
 
+def train(pairs: np.ndarray, noise: np.ndarray, steps: int = STEPS, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context vectors, unit vectors, biases) that climb the noise-contrastive objective over the counted pairs.
 
-def token_scores(weights: np.ndarray, log_z: np.ndarray, units: int, out: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-    """Normalised log10 probabilities of the units."""
-    r = weights[out]
-    q = weights[before + units, :DIM] + weights[earlier + 2 * units + 1, :DIM]
-    return ((q * r[:, :DIM]).sum(axis=1) + r[:, DIM] - log_z[before, earlier]).astype(np.float64) / _LOG10
+    A pair is told from noise by its score less log(NOISE * its noise probability). Steps are Adam's, on gradients of the mean.
+    """
+    rng = np.random.default_rng(seed)
+    total = max(float(pairs.sum()), 1.0)
+    true = pairs / np.float32(total)
+    context = true.sum(axis=1, keepdims=True)
+    false = (context * (NOISE * noise[None, :])).astype(np.float32)
+    shift = np.log(NOISE * noise).astype(np.float32)
+    both = true + false
+    weights = [rng.normal(0, 0.1, (len(pairs), DIM)).astype(np.float32), rng.normal(0, 0.1, (len(noise), DIM)).astype(np.float32), np.log(noise).astype(np.float32)]
+    first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+    for step in range(1, steps + 1):
+        q, r, bias = weights
+        score = q @ r.T
+        score += bias - shift
+        np.clip(score, -30, 30, out=score)
+        np.negative(score, out=score)
+        np.exp(score, out=score)
+        score += 1
+        np.divide(both, score, out=score)  # what is taken for true
+        gradient = true - score
+        gradients = [gradient @ r, gradient.T @ q, gradient.sum(axis=0)]
+        rate = RATE * min(1.0, 2 * (1 - (step - 1) / steps))
+        for w, g, m, s in zip(weights, gradients, first, second, strict=True):
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            w += rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-12)
+    return weights[0], weights[1], weights[2]
+
+
+def log_probabilities(weights: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Normalised log10 probability of each unit (column) behind each context (row), by batched matrix products."""
+    q, r, bias = weights
+    out = np.empty((len(q), len(r)), dtype=np.float32)
+    for i in range(0, len(q), 256):
+        s = q[i : i + 256] @ r.T + bias
+        s -= s.max(axis=1, keepdims=True)
+        out[i : i + 256] = (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.float32(_LOG10)
+    return out
 
 
 _SCORED = "rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>"
@@ -290,7 +219,7 @@ _SCORED = "rid long, doc_id long, n_tokens long, n_known long, base_score double
 
 def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, weights, log_z = model.value
+        v, log_p = model.value
         base = np.log10(v.total + 0.5 * (v.distinct + 1))
         in_bucket = np.log10(v.bucket_n + 0.5 * (v.bucket_v + 1))
         for batch in batches:
@@ -301,8 +230,8 @@ def _scorer(model):
                 h, rows, starts, ends = textops.words(part, at)
                 ranks, counts = v.look_up(h)
                 buckets = buckets_of(part, starts, ends)
-                out, before, earlier, row = v.sequence(ranks, buckets, rows, n)
-                score = np.bincount(row, token_scores(weights, log_z, v.units, out, before, earlier), n)
+                out, before, row = v.sequence(ranks, buckets, rows, n)
+                score = np.bincount(row, log_p[before, out], n)
                 frequent = ranks >= 0
                 own = np.where(frequent, np.log10(counts + 0.5), 0.0)
                 beyond = (~frequent) | (ranks >= v.short)
@@ -338,8 +267,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     learned = rows.where(training(F.col("doc_id")))
     counts = materialise(count_words(learned), "words")
     vocabulary = Vocabulary(counts)
-    weights = train(learned, vocabulary)
-    model = docs.sparkSession.sparkContext.broadcast((vocabulary, weights, normalisers(weights, vocabulary.units)))
+    weights = train(count_pairs(learned, vocabulary), vocabulary.frequencies())
+    model = docs.sparkSession.sparkContext.broadcast((vocabulary, log_probabilities(weights)))
     numbered = limit_arrow(rows).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     scored = materialise(numbered.mapInArrow(_scorer(model), _SCORED), "scored")
 
