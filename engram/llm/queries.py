@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import chat, mixing, neural_lm, order_minhash, tokens, toxicity
+from engram.llm import chat, decontaminate, mixing, neural_lm, order_minhash, tokens, toxicity
 from engram.session import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(told) AS turns_sha256, length
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op3_order_minhash": op3_order_minhash,
         "op5_lm_scoring": op5_lm_scoring,
         "op7_token_counts": op7_token_counts,
