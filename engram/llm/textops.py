@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from engram.session import visible_to_workers
+
 SLICE_BYTES = 1 << 20
 SHINGLE = 5
 _U = np.uint64
@@ -157,7 +159,8 @@ def row_sets(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def limit_arrow(df, rows: int = 1000):
-    """Bound Arrow batches, so that a worker holds few long texts at once."""
+    """Bound Arrow batches, so that a worker holds few long texts at once, and let workers import the package."""
+    visible_to_workers(df.sparkSession)
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -245,10 +245,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_byt
     Which ones is decided by a hash of their id and text. Labels other than 0 and 1 and null ids are no labels.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id"))
+    # ids and lengths decide; texts are read for the sample alone
+    lengths = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
+    rows = lengths.join(known, F.col("doc_id") == F.col("_id"))
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    short = rows.where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes)
-    sample = [short.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(9)), "text").limit(most_docs).select("text", "toxic").toArrow() for y in (0, 1)]
+    short = rows.where(F.col("bytes") <= most_bytes)
+    sample = []
+    for y in (0, 1):
+        ids = short.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(most_docs).select("doc_id").distinct()
+        chosen = sorted(r[0] for r in ids.collect())
+        texts = docs.where(F.col("doc_id").isin(chosen) & (F.octet_length("text") <= most_bytes)).orderBy(F.xxhash64("doc_id", F.lit(9)), "text").limit(most_docs)
+        sample.append(texts.select("text", F.lit(y).alias("toxic")).toArrow())
     both = pa.concat_tables(sample)
     rates = tuple(counts.get(y, 0) / max(1, sample[y].num_rows) for y in (0, 1))
     texts = both.column("text").combine_chunks() if both.num_rows else pa.array([], pa.string())
