@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import chat, decontaminate, mixing, neural_lm, order_minhash, tokens, toxicity
+from engram.llm import chat, decontaminate, mixing, neural_lm, order_minhash, suffix_dedup, tokens, toxicity
 from engram.session import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neural_lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op3_order_minhash": op3_order_minhash,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_lm_scoring": op5_lm_scoring,
         "op7_token_counts": op7_token_counts,
         "op8_chat_formatting": op8_chat_formatting,
