@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import chat, decontaminate, mixing, neural_lm, order_minhash, suffix_dedup, tokens, toxicity
+from engram.llm import chat, decontaminate, mixing, neural_lm, ngram_join, order_minhash, suffix_dedup, tokens, toxicity
 from engram.session import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neural_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_order_minhash": op3_order_minhash,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_lm_scoring": op5_lm_scoring,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_token_counts": op7_token_counts,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_toxicity": op9_toxicity,
