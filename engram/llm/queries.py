@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import chat, decontaminate, mixing, neural_lm, ngram_join, order_minhash, suffix_dedup, tokens, toxicity
+import corpus_pipeline
+from engram.llm import chat, decontaminate, line_dedup, mixing, neural_lm, ngram_join, order_minhash, suffix_dedup, tokens, toxicity
 from engram.session import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +18,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(told) AS turns_sha256, length
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
+        "op2_line_dedup": op2_line_dedup,
         "op3_order_minhash": op3_order_minhash,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_lm_scoring": op5_lm_scoring,
@@ -76,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_formatting": op8_chat_formatting,
         "op9_toxicity": op9_toxicity,
         "op10_source_mixing": op10_source_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
