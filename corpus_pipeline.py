@@ -1,3 +1,62 @@
-"""Corpus pipeline (under construction)."""
+"""Corpus pipeline: toxic documents go, repeated lines go, near copies go, benchmark leaks go, the rest is mixed.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. A stage's
+result is written as Parquet to the shared folder and read again by the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from engram.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
+from engram.session import materialise, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among them, does not call toxic."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    names = docs.columns
+    return toxicity.score(docs, model).where(F.col("score") < 0.5).select(*names)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that match earlier ones; a document stays even if no line does."""
+    return line_dedup.clean(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest doc_id, of each group that links of 5-word shingles connect."""
+    return ngram_join.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each copy it takes, in order of virtual finish time."""
+    mixed = mixing.mix(docs).where("taken > 0")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copy", "taken", "finish", "position").orderBy("position")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources to target weights", mix_sources),
+]
+
+#: The classifier and the similarity joins have no SQL; the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"stage{k}")
+    return docs
