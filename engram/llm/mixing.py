@@ -31,7 +31,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     """Add weight and target to (source, source_size), one row per source; nulls come last in the order of weights.
 
     Shares follow the weights; a target stops at ``most`` times the source's size and what it leaves is shared among the
-    others by weight. In order of (cap / weight) the stopped sources come first, so one running sum finds the level.
+    others by weight. In order of (cap / weight) the stopped sources come first, so running sums give the level behind each.
     """
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     df = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long"))
@@ -41,9 +41,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     total = lambda c: F.sum(c).over(W.partitionBy())
     level = (total("source_size") - F.coalesce(sums("cap"), F.lit(0))) / (total("weight") - F.coalesce(sums("weight"), F.lit(0)))
     df = df.withColumn("level", level)
-    held = F.min(F.when(F.col("full_at") >= F.col("level"), F.col("level"))).over(W.partitionBy())
-    # the level is that of the first source that isn't full below it; with none, every source is full
-    df = df.withColumn("held", F.coalesce(held, F.max("full_at").over(W.partitionBy())))
+    # stopping a source that is full below the level raises it for the rest, stopping any other lowers it
+    df = df.withColumn("held", F.max("level").over(W.partitionBy()))
     return df.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("held") * F.col("weight")).alias("target"))
 
 
@@ -107,7 +106,7 @@ weighed AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source ASC NULLS LA
 leveled AS (SELECT *, cap / weight AS full_at,
     ((sum(source_size) OVER () - coalesce(sum(cap) OVER u, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER u, 0))::DOUBLE) AS level
     FROM weighed WINDOW u AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-goals AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(min(level) FILTER (full_at >= level) OVER (), max(full_at) OVER ()) * weight) AS target FROM leveled),
+goals AS (SELECT source, source_size, least(cap::DOUBLE, max(level) OVER () * weight) AS target FROM leveled),
 placed AS (SELECT s.*, source_size, target,
     sum(size) OVER (PARTITION BY s.source ORDER BY md5(doc_id::VARCHAR), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS ahead
     FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
