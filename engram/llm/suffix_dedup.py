@@ -29,7 +29,7 @@ from engram.session import materialise, shared_dir, shuffle_partitions
 
 LENGTH = 200
 GRAM = 24
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 22
 _U = np.uint64
 
 

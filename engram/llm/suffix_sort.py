@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 _FIRST_BLOCK, _LAST_BLOCK = 256, 1 << 18
-SHORT = 1 << 17
+SHORT = 1 << 19
 
 
 def _narrow(t: np.ndarray, kinds: int) -> np.ndarray:
@@ -37,37 +37,42 @@ def _induce(sa: np.ndarray, t: np.ndarray, wanted: np.ndarray, ends: np.ndarray,
     at, block = 0, _FIRST_BLOCK
     line = sa if step == 1 else sa[::-1]
     places = ends if step == 1 else n - 1 - ends  # in the direction of the scan
+    count = np.arange(_LAST_BLOCK)
     while at < n:
         stop = min(at + block, n)
         entries = line[at:stop]
-        k = np.flatnonzero(entries > 0)
-        p = entries[k] - 1
-        m = wanted[p]
-        k, p = k[m], p[m]
-        if not len(p):
+        k = (entries > 0).nonzero()[0]
+        p = entries[k]
+        p -= 1
+        m = wanted[p].nonzero()[0]
+        if not len(m):
             at, block = stop, min(block * 2, _LAST_BLOCK)
             continue
+        p = p[m]
         c = t[p]
-        order = np.argsort(c, kind="stable")
+        order = c.argsort(kind="stable")
         cs = c[order]
-        begin = np.flatnonzero(np.append(True, cs[1:] != cs[:-1]))
-        counts = np.diff(np.append(begin, len(cs)))
-        kinds = cs[begin]
-        target = np.empty(len(p), dtype=np.int64)
-        target[order] = np.arange(len(cs)) + np.repeat(places[kinds] - begin, counts)
-        inside = int(target.min())
-        if inside < stop:  # what lies there has to be read later
-            fine = k + at < inside
-            line[target[fine]] = p[fine]
-            c = np.sort(c[fine], kind="stable")
-            begin = np.flatnonzero(np.append(len(c) > 0, c[1:] != c[:-1]))
-            places[c[begin]] += np.diff(np.append(begin, len(c)))
-            block = max(64, 2 * (inside - at))
-            at = inside
-        else:
-            line[target] = p
-            places[kinds] += counts
+        begin = (cs[1:] != cs[:-1]).nonzero()[0]
+        begin += 1
+        bounds = np.empty(len(begin) + 2, dtype=np.int64)
+        bounds[0], bounds[1:-1], bounds[-1] = 0, begin, len(cs)
+        sizes = bounds[1:] - bounds[:-1]
+        kinds = cs[bounds[:-1]]
+        free = places[kinds]
+        inside = int(free.min())  # the first places of the kinds are the least targets
+        target = (free - bounds[:-1]).repeat(sizes)
+        target += count[: len(cs)]
+        if inside >= stop:
+            line[target] = p[order]
+            places[kinds] = free + sizes
             at, block = stop, min(block * 2, _LAST_BLOCK)
+            continue
+        # what lies inside the block has to be read later: keep what is read before it
+        fine = (k[m][order] + at < inside).nonzero()[0]
+        line[target[fine]] = p[order[fine]]
+        np.maximum.at(places, cs[fine], target[fine] + 1)
+        block = min(max(64, 2 * (inside - at)), _LAST_BLOCK)
+        at = inside
 
 
 def _fill(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
