@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from engram.errors import MAX_DIMENSION, MAX_K, MAX_OVERFETCH, MAX_QUERY_CHARS, EngineError, invalid
 from engram.functions import lexical, vector
@@ -97,6 +98,7 @@ def batch_knn(records: DataFrame, queries: DataFrame, k: int, metric: str = "cos
     shared = records.sparkSession.sparkContext.broadcast((ids, q))
     key_type = records.schema[key].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
+    arrow = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(records.schema[key].dataType)
 
     def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
         if metric == "cosine":
@@ -128,7 +130,7 @@ def batch_knn(records: DataFrame, queries: DataFrame, k: int, metric: str = "cos
                 best_d, best_k = d, names
         n = best_d.shape[1]
         if n and len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in ids for _ in range(n)]), pa.array(best_k.ravel().tolist()), pa.array(best_d.ravel())], ["query_id", key, "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x in ids for _ in range(n)], arrow[0]), pa.array(best_k.ravel().tolist(), arrow[1]), pa.array(best_d.ravel())], ["query_id", key, "distance"])
 
     near = records.select(key, "vector").mapInArrow(run, f"query_id {query_type}, `{key}` {key_type}, distance double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy("distance", key))
