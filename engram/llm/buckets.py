@@ -1,4 +1,4 @@
-"""Documents kept in a bucketed table by row number: joins by row leave the texts where they are."""
+"""Tables bucketed by a key: joins by it leave their rows, such as texts, where they are."""
 
 from __future__ import annotations
 
@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from engram.session import shared_dir, shuffle_partitions
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written to the shared folder as a table that is bucketed by ``key``."""
+    spark = df.sparkSession
+    table = f"engram_{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(max(shuffle_partitions(spark), 8), key).saveAsTable(table)
+    return spark.table(table)
+
+
 def keep(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``row``, bucketed by it, in the shared folder."""
-    spark = docs.sparkSession
-    name = f"engram_rows_{uuid.uuid4().hex}"
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    numbered.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(max(shuffle_partitions(spark), 8), "row").saveAsTable(name)
-    return spark.table(name)
+    """``docs`` with a column ``row``, bucketed by it."""
+    return bucketed(docs.withColumn("row", F.monotonically_increasing_id()), "row", "rows")
