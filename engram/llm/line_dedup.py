@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from engram.llm import buckets, textops
 from engram.llm.neural_lm import count_words
 from engram.llm.textops import limit_arrow, mix
-from engram.session import materialise
+from engram.session import free_shuffles, materialise
 
 THRESHOLD = 80  # percent
 FREQUENT = 1 << 18
@@ -116,7 +116,7 @@ def _chosen(batch: pa.RecordBatch, shared) -> Iterator[tuple[np.ndarray, ...]]:
             yield row[pick] + i, line[pick], size[pick], start[pick], words
 
 
-_POSTING = "word long, doc_id long, row long, line int, size int, at int, bits long"
+_POSTING = "word long, doc_id long, row long, line int, size int, at int, bits long, more_bits long"
 
 
 def _postings(shared, threshold: int):
@@ -126,27 +126,29 @@ def _postings(shared, threshold: int):
                 if not len(row):
                     continue
                 whole = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                flips = _U(1) << (mix(words[whole]) & _U(63))
-                bits = np.bitwise_xor.reduceat(flips, np.cumsum(size) - size)
+                spot = mix(words[whole]) & _U(127)  # two halves of a bitmap of 128 bits
+                first = np.cumsum(size) - size
+                flips = _U(1) << (spot & _U(63))
+                bits, more_bits = (np.bitwise_xor.reduceat(np.where(half, flips, _U(0)), first) for half in (spot < _U(64), spot >= _U(64)))
                 length = prefix_length(size, threshold)
                 owner = np.repeat(np.arange(len(row)), length)
                 at = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
                 source = pa.array(row[owner])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(words[start[owner] + at].view(np.int64)), batch.column(1).take(source), batch.column(0).take(source), pa.array(line[owner].astype(np.int32)), pa.array(size[owner].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(bits[owner].view(np.int64))],
-                    ["word", "doc_id", "row", "line", "size", "at", "bits"],
+                    [pa.array(words[start[owner] + at].view(np.int64)), batch.column(1).take(source), batch.column(0).take(source), pa.array(line[owner].astype(np.int32)), pa.array(size[owner].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(bits[owner].view(np.int64)), pa.array(more_bits[owner].view(np.int64))],
+                    ["word", "doc_id", "row", "line", "size", "at", "bits", "more_bits"],
                 )
 
     return run
 
 
-def _passes(size_x, at_x, bits_x, size_y, at_y, bits_y, threshold: int) -> np.ndarray:
+def _passes(x: dict[str, np.ndarray], y: dict[str, np.ndarray], threshold: int) -> np.ndarray:
     """Length, positional and bitmap filters of pairs that share a word at the given places of their orders."""
-    both = size_x + size_y
-    most = 1 + np.minimum(size_x - at_x, size_y - at_y) - 1 + np.minimum(at_x, at_y)
-    apart = np.bitwise_count(bits_x ^ bits_y).astype(np.int64)
+    both = x["size"] + y["size"]
+    most = np.minimum(x["size"] - x["at"], y["size"] - y["at"]) + np.minimum(x["at"], y["at"])
+    apart = np.bitwise_count(x["bits"] ^ y["bits"]).astype(np.int64) + np.bitwise_count(x["more_bits"] ^ y["more_bits"])
     common = (both - apart) // 2  # the sets differ in at least as many words as bits
-    small, large = np.minimum(size_x, size_y), np.maximum(size_x, size_y)
+    small, large = np.minimum(x["size"], y["size"]), np.maximum(x["size"], y["size"])
     return (100 * small >= threshold * large) & ((100 + threshold) * np.minimum(most, common) >= threshold * both)
 
 
@@ -163,7 +165,8 @@ def _first_round(threshold: int, most_steps: int, held_rows: int):
         passing, earliest = np.zeros(n, dtype=np.int64), np.full(n, -1)
 
         def meet(i: np.ndarray, j: np.ndarray) -> None:
-            fine = _passes(c["size"][i], c["at"][i], c["bits"][i], c["size"][j], c["at"][j], c["bits"][j], threshold)
+            x, y = ({k: c[k][at] for k in ("size", "at", "bits", "more_bits")} for at in (i, j))
+            fine = _passes(x, y, threshold)
             i, j = i[fine], j[fine]
             passing[i] += 1
             earliest[i] = j
@@ -189,7 +192,7 @@ def _first_round(threshold: int, most_steps: int, held_rows: int):
         size = 0
         join = lambda: {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         for batch in batches:
-            held.append({k: batch.column(k).to_numpy() for k in ("word", "row", "line", "size", "at", "bits")})
+            held.append({k: batch.column(k).to_numpy() for k in ("word", "row", "line", "size", "at", "bits", "more_bits")})
             size += batch.num_rows
             if size < held_rows:
                 continue
@@ -269,7 +272,8 @@ def remove_lines(docs: DataFrame, threshold: int = THRESHOLD, most_steps: int =
     spark = docs.sparkSession
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed", "kept", "row", "lines")]
     kept = buckets.keep(limit_arrow(docs).select(*others, "text"))
-    order = Order(count_words(kept))
+    order = Order(materialise(count_words(docs), "counts"))
+    free_shuffles(spark)
     shared = spark.sparkContext.broadcast(order)
     texts = kept.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -280,9 +284,11 @@ def remove_lines(docs: DataFrame, threshold: int = THRESHOLD, most_steps: int =
 
     dealt = named.mapInArrow(_postings(shared, threshold), _POSTING).repartition("word").sortWithinPartitions("word", "doc_id", "row", "line")
     met = materialise(dealt.mapInArrow(_first_round(threshold, most_steps, held_rows), _CANDIDATE), "met")
+    free_shuffles(spark)
     pairs = met.where("other_row IS NOT NULL").select("row", "line", "other_row", "other_line").distinct()
     settled = materialise(_verified(kept, shared, pairs, threshold), "settled")
 
+    free_shuffles(spark)
     left = materialise(met.where("more").select("row", "line").distinct().join(settled, ["row", "line"], "left_anti"), "left")
     n_left = left.count()
     if n_left:
@@ -294,12 +300,13 @@ def remove_lines(docs: DataFrame, threshold: int = THRESHOLD, most_steps: int =
         at = lambda a: F.struct(col(a, "doc_id"), col(a, "row"), col(a, "line"))
         both = col("x", "size") + col("y", "size")
         most = F.least(col("x", "size") - col("x", "at"), col("y", "size") - col("y", "at")) + F.least(col("x", "at"), col("y", "at"))
-        common = F.least(most, F.floor((both - F.bit_count(col("x", "bits").bitwiseXOR(col("y", "bits")))) / 2))
+        common = F.least(most, F.floor((both - F.bit_count(col("x", "bits").bitwiseXOR(col("y", "bits"))) - F.bit_count(col("x", "more_bits").bitwiseXOR(col("y", "more_bits")))) / 2))
         alike = 100 * F.least(col("x", "size"), col("y", "size")) >= threshold * F.greatest(col("x", "size"), col("y", "size"))
         on = (col("x", "word") == col("y", "word")) & (at("y") < at("x")) & alike & ((100 + threshold) * common >= threshold * both)
         open_pairs = y.join(F.broadcast(x) if small else x, on).select(col("x", "row").alias("row"), col("x", "line").alias("line"), col("y", "row").alias("other_row"), col("y", "line").alias("other_line")).distinct()
         open_pairs = materialise(open_pairs.join(pairs, ["row", "line", "other_row", "other_line"], "left_anti"), "open")
         settled = settled.union(_verified(kept, shared, open_pairs, threshold))
+    free_shuffles(spark)
     stay = firsts.join(settled, ["row", "line"], "left_anti")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*others).schema.fields)
     whole = kept.join(_by_row(stay), "row", "left").select("text", "lines", *others)
