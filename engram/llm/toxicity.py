@@ -32,6 +32,7 @@ MOST_WORDS = 24_000
 _CODES = 32
 _TABLE = _CODES**3
 _PAD = SPAN
+_AT_ONCE = 1 << 16  # words
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 _CODE = np.zeros(256, dtype=np.uint8)
@@ -180,7 +181,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, s: np.ndarray, ridge: float = 1e-3)
 def train(texts: pa.Array, toxic: np.ndarray, rates: tuple[float, float]) -> dict:
     """Fit the machine. ``rates``: for the clean and the toxic class, how many labelled documents a sampled one stands for."""
     data, offs = textops.text_buffers(texts)
-    h, rows, starts, ends = all_words(data, offs)
+    found = [[np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]]
+    for i, j in textops.slices(offs):
+        h, rows, starts, ends = all_words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        found.append([h, rows + i, starts + offs[i], ends + offs[i]])
+    h, rows, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
     n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     model = {"beta": np.zeros(_TABLE, np.float32), "bias": -1.0, "layer": np.array([0.0, 0.0, 0.0, 0.0, np.log((toxic.sum() * rates[1] + 0.5) / ((1 - toxic).sum() * rates[0] + 0.5))])}
     if not len(h) or toxic.sum() == 0 or (1 - toxic).sum() == 0:
@@ -208,7 +213,7 @@ def train(texts: pa.Array, toxic: np.ndarray, rates: tuple[float, float]) -> dic
     values, basis = np.linalg.eigh((vectors.T @ vectors).astype(np.float64))
     good = values > 1e-6 * values.max()
     whiten = basis[:, good] / np.sqrt(values[good])
-    z = _features(codes, first, letters, vectors).astype(np.float64) @ whiten
+    z = _features(codes, first, letters, vectors) @ whiten.astype(np.float32)
     x, y = np.vstack([z, z]), np.repeat([1.0, -1.0], len(z))
     s = np.concatenate([p[words], 3 * q[words]])
     weights, bias = _newton_svm(x, y, s / s.sum() * 100)
@@ -221,7 +226,11 @@ def train(texts: pa.Array, toxic: np.ndarray, rates: tuple[float, float]) -> dic
 
 def _values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, model: dict) -> np.ndarray:
     _, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-    return decision(*encode_words(data, starts[index], ends[index]), model["beta"], model["bias"])[inverse]
+    values = [np.zeros(0)]
+    for i in range(0, len(index), _AT_ONCE):
+        some = index[i : i + _AT_ONCE]
+        values.append(decision(*encode_words(data, starts[some], ends[some]), model["beta"], model["bias"]))
+    return np.concatenate(values)[inverse]
 
 
 def score_texts(column: pa.Array, model: dict) -> np.ndarray:
