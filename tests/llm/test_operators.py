@@ -278,6 +278,21 @@ def test_ngram_join(spark):
     assert ngram_join.join(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_ngram_join_of_like_chunks(spark):
+    """Partitions whose smallest and largest sets and whose number of sets are the same, with other sets between."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("abcdefghij") + str(rnd.randrange(50)) for _ in range(40)) for _ in range(8)]
+    texts += [t + " more" for t in texts]
+    identity = ngram_join.sets_of(*textops.text_buffers(pa.array(texts)))[2]
+    low, high = int(np.argmin(identity)), int(np.argmax(identity))
+    inner = [k for k in range(8) if not {k, k + 8} & {low, high}]
+    dealt = [low, *inner, high, low, *(k + 8 for k in inner), high]
+    rows = [(i, texts[k]) for i, k in enumerate(dealt)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), SCHEMA)
+    assert docs.rdd.getNumPartitions() == 2
+    assert got(ngram_join.join(docs), "doc_id", "n_shingles", "component_id") == linked_by_hand(rows)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
