@@ -2,9 +2,10 @@
 
 A word is canonicalised to a typed placeholder if it is a number, a unit behind a number, or a name (capitalised, not at the
 start of a sentence), and to its lower-case core without outer punctuation otherwise. Windows of ``WINDOW`` canonical
-words are hash-joined with those of the benchmark. The windows that match along one alignment of text and item must map
+words, and of ``SHORT``, are hash-joined with those of the benchmark. The windows of one size that match along one alignment of text and item must map
 the item's slot values to the text's one to one: the same name always becomes the same other name. A document leaks an
-item if consistent alignments hold at least ``COVERAGE`` of the item's windows.
+item if the windows of consistent alignments cover at least ``COVERAGE`` of the item's words, and ``WINDOW`` of them or all,
+or are that share of its windows of ``WINDOW`` words.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from engram.llm import textops
 from engram.llm.textops import limit_arrow, mix
 
 WINDOW = 8
+SHORT = 5  # so that words around a changed one still count
 LEAST_WORDS = 4  # of a window that aren't slots
 COVERAGE = 0.5
 MOST_BROADCAST = 2_000_000  # windows of the benchmark (16 MB); beyond it all windows of the documents are joined
@@ -101,7 +103,8 @@ def _emit(sizes: list[int], wanted, whole_short: bool):
                 for size in sizes:
                     at, h = windows(code, value, rows, size)
                     if whole_short and size < WINDOW:  # an item shorter than a window is one window
-                        fits = length[rows[at]] == size
+                        of = length[rows[at]]
+                        fits = (of == size) | ((of >= WINDOW) & (size == SHORT))
                         at, h = at[fits], h[fits]
                     if keep is not None and len(at):
                         place = np.minimum(np.searchsorted(keep, h), len(keep) - 1) if len(keep) else np.zeros(len(h), np.int64)
@@ -135,9 +138,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     items = limit_arrow(benchmark).select(F.col("item_id").cast("long").alias("id"), "text")
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     short = [r[0] for r in items.select(words.alias("n")).where(f"n BETWEEN 2 AND {WINDOW - 1}").distinct().collect()]
-    sizes = sorted([*short, WINDOW])
+    sizes = sorted({*short, SHORT, WINDOW})
     of_items = items.mapInArrow(_emit(sizes, None, True), _SCHEMA).withColumnsRenamed({"id": "item_id", "at": "item_at", "slots": "item_slots"})
-    n_windows = of_items.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
+    n_words = items.groupBy(F.col("id").alias("item_id")).agg(F.max(words).alias("n_words"))
     distinct = of_items.select("window").distinct()
     wanted = None
     if distinct.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
@@ -146,23 +149,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     texts = limit_arrow(docs).select(F.col("doc_id").cast("long").alias("id"), "text")
     of_docs = texts.mapInArrow(_emit(sizes, wanted, False), _SCHEMA).withColumnRenamed("id", "doc_id")
 
-    met = of_docs.join(of_items, "window").withColumn("shift", F.col("at") - F.col("item_at"))
+    met = of_docs.join(of_items, "window").withColumn("shift", F.col("at") - F.col("item_at")).withColumn("kind", F.size("slots"))
+    of_whole = of_items.where(F.size("item_slots") == WINDOW).groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
+    span = F.sequence("item_at", F.col("item_at") + F.size("slots") - 1)
     pair = F.arrays_zip(F.sequence(F.lit(0), F.size("slots") - 1).alias("j"), F.col("slots").alias("ours"), F.col("item_slots").alias("theirs"))
     filled = F.transform(F.filter(pair, lambda x: x["ours"] != 0), lambda x: F.struct((F.col("item_at") + x["j"]).alias("place"), x["theirs"].alias("theirs"), x["ours"].alias("ours")))
     # an alignment holds no more windows than its item, so these sets are bounded by the benchmark
-    aligned = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("slots"))
+    aligned = met.groupBy("doc_id", "item_id", "shift", "kind").agg(F.array_distinct(F.flatten(F.collect_set(span))).alias("places"), F.collect_set(F.when(F.col("kind") == WINDOW, F.col("item_at"))).alias("starts"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("slots"))
     several = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(*[x[n] for n in names]))))
     pairs = several("theirs", "ours")
     consistent = aligned.where((pairs == several("theirs")) & (pairs == several("ours")))
     changed = F.size(F.filter("slots", lambda x: x["ours"] != x["theirs"]))
-    consistent = consistent.select("doc_id", "item_id", "places", F.size("slots").alias("n_slots"), changed.alias("n_changed"))
+    consistent = consistent.select("doc_id", "item_id", "places", "starts", F.size("slots").alias("n_slots"), changed.alias("n_changed"))
     held = consistent.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_held"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("starts")))).alias("n_starts"),
         F.max(F.struct(F.size("places").alias("n"), (-F.col("n_changed")).alias("less"), "n_slots")).alias("best"),
     )
-    share = F.col("n_held") / F.col("n_windows")
+    # of an item dense in slots only the windows that it has can be held by a changed copy
+    by_words = F.when(F.col("n_held") >= F.least(F.lit(WINDOW), "n_words"), F.col("n_held") / F.col("n_words")).otherwise(0.0)
+    share = F.greatest(by_words, F.col("n_starts") / F.col("n_windows"))
     n_changed = (-F.col("best.less")).cast("long")
-    told = held.join(n_windows, "item_id")
+    told = held.join(n_words, "item_id").join(of_whole, "item_id", "left")
     return told.where(share >= coverage).select("doc_id", "item_id", F.round(share, 6).alias("coverage"), F.col("best.n_slots").cast("long").alias("n_slots"), n_changed.alias("n_changed"), (n_changed == 0).alias("exact"))
 
 

@@ -66,6 +66,24 @@ def test_leaks(spark):
     assert decontaminate.leaks(spark.createDataFrame([], SCHEMA), none).count() == 0
 
 
+ITEMS = "item_id long, text string"
+
+
+def leaked(spark, texts, items):
+    out = decontaminate.leaks(frame(spark, list(enumerate(texts))), spark.createDataFrame(list(enumerate(items)), ITEMS))
+    return {(r["doc_id"], r["item_id"]) for r in out.collect()}
+
+
+def test_leaks_of_edited_and_partial_copies(spark):
+    items = [[f"w{chr(97 + k)}{chr(97 + j)}" for j in range(n)] for k, n in enumerate((14, 20, 24, 30))]
+    one = lambda w, *at: " ".join("other" if j in at else x for j, x in enumerate(w))
+    texts = [one(items[0], 7), one(items[1], 10), one(items[2], 8, 16), " ".join(["so", *items[3][6:24], "on"]), " ".join(items[3][:7])]
+    assert leaked(spark, texts, [" ".join(w) for w in items]) == {(k, k) for k in range(4)}
+    dense = "the quick cook bakes some fresh bread today " + " ".join(f"{k} km" for k in range(20, 32))
+    again = "the quick cook bakes some fresh bread today " + " ".join(f"{k} km" for k in range(50, 62))
+    assert leaked(spark, [again], [dense]) == {(0, 0)}
+
+
 # 2
 
 
