@@ -2,7 +2,8 @@
 
 A word is canonicalised to a typed placeholder if it is a number, a unit behind a number, or a name (capitalised, not at the
 start of a sentence), and to its lower-case core without outer punctuation otherwise. Windows of ``WINDOW`` canonical
-words, and of ``SHORT``, are hash-joined with those of the benchmark. The windows of one size that match along one alignment of text and item must map
+words, and of ``SHORT``, are hash-joined with those of the benchmark, the short ones by
+their literal words as well, as windows of many slots have no other. The windows of one size that match along one alignment of text and item must map
 the item's slot values to the text's one to one: the same name always becomes the same other name. A document leaks an
 item if the windows of consistent alignments cover at least ``COVERAGE`` of the item's words, and ``WINDOW`` of them or all,
 or are that share of its windows of ``WINDOW`` words.
@@ -46,12 +47,12 @@ def _units() -> np.ndarray:
     return _unit_hashes[0]
 
 
-def canonical(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, slot value, row) of each word; the slot value is 0 for a word that is no slot."""
+def canonical(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code, slot value, row, literal code) of each word; the slot value is 0 for a word that is no slot."""
     starts, ends, rows = textops.word_spans(data, offs)
     if not len(starts):
         z = np.zeros(0, dtype=_U)
-        return z, z, rows
+        return z, z, rows, z
     a, b = starts.copy(), ends.copy()
     for _ in range(3):
         a += (b - a > 1) & _OUTER[data[a]]
@@ -72,17 +73,22 @@ def canonical(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     name = capital & ~opens & ~number & ~unit
     code = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, core)))
     value = np.where(number | unit | name, core | _U(1), _U(0))
-    return code, value, rows
+    return code, value, rows, core
 
 
-def windows(code: np.ndarray, value: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of each run of ``size`` words of one text that holds enough words besides slots."""
+def windows(code: np.ndarray, value: np.ndarray | None, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of each run of ``size`` words of one text that holds enough words besides slots.
+
+    Without slot values the codes are literal, and every run counts.
+    """
     n = len(code) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    slots = np.concatenate([[0], np.cumsum(value != 0)])
-    fine = (rows[:n] == rows[size - 1 :]) & (size - (slots[size:] - slots[:-size]) >= min(LEAST_WORDS, (size + 1) // 2))
-    h = np.full(n, size, dtype=_U)
+    fine = rows[:n] == rows[size - 1 :]
+    if value is not None:
+        slots = np.concatenate([[0], np.cumsum(value != 0)])
+        fine &= size - (slots[size:] - slots[:-size]) >= min(LEAST_WORDS, (size + 1) // 2)
+    h = np.full(n, size if value is not None else -size & 0xFF, dtype=_U)
     for j in range(size):
         h = mix(h * _U(0x9E3779B97F4A7C15) + code[j : j + n])
     at = np.flatnonzero(fine)
@@ -90,18 +96,18 @@ def windows(code: np.ndarray, value: np.ndarray, rows: np.ndarray, size: int) ->
 
 
 def _emit(sizes: list[int], wanted, whole_short: bool):
-    """Rows (id, at, window, slots) of the texts' windows; of the wanted hashes only, if these are given."""
+    """Rows (id, at, window, slots, literal) of the texts' windows; of the wanted hashes only, if these are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None if wanted is None else wanted.value
         for batch in batches:
             data, offs = textops.text_buffers(batch.column(1))
             for i, j in textops.slices(offs):
-                code, value, rows = canonical(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                code, value, rows, core = canonical(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 begin = np.searchsorted(rows, np.arange(j - i))
                 length = np.bincount(rows, minlength=j - i) if len(rows) else np.zeros(j - i, np.int64)
-                for size in sizes:
-                    at, h = windows(code, value, rows, size)
+                for size, literal in [(x, y) for x in sizes for y in (False, True) if x < WINDOW or not y]:
+                    at, h = windows(core, None, rows, size) if literal else windows(code, value, rows, size)
                     if whole_short and size < WINDOW:  # an item shorter than a window is one window
                         of = length[rows[at]]
                         fits = (of == size) | ((of >= WINDOW) & (size == SHORT))
@@ -116,14 +122,14 @@ def _emit(sizes: list[int], wanted, whole_short: bool):
                     slots = value[at[:, None] + np.arange(size)].view(np.int64)
                     cut = np.arange(len(at) + 1, dtype=np.int32) * size
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(r + i)), pa.array(at - begin[r]), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(slots.ravel()))],
-                        ["id", "at", "window", "slots"],
+                        [batch.column(0).take(pa.array(r + i)), pa.array(at - begin[r]), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(slots.ravel())), pa.array(np.full(len(at), literal))],
+                        ["id", "at", "window", "slots", "literal"],
                     )
 
     return run
 
 
-_SCHEMA = "id long, at long, window long, slots array<long>"
+_SCHEMA = "id long, at long, window long, slots array<long>, literal boolean"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -137,9 +143,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     spark = docs.sparkSession
     items = limit_arrow(benchmark).select(F.col("item_id").cast("long").alias("id"), "text")
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    short = [r[0] for r in items.select(words.alias("n")).where(f"n BETWEEN 2 AND {WINDOW - 1}").distinct().collect()]
+    short = [r[0] for r in items.select(words.alias("n")).where(f"n BETWEEN 1 AND {WINDOW - 1}").distinct().collect()]
     sizes = sorted({*short, SHORT, WINDOW})
-    of_items = items.mapInArrow(_emit(sizes, None, True), _SCHEMA).withColumnsRenamed({"id": "item_id", "at": "item_at", "slots": "item_slots"})
+    of_items = items.mapInArrow(_emit(sizes, None, True), _SCHEMA).withColumnsRenamed({"id": "item_id", "at": "item_at", "slots": "item_slots"}).drop("literal")
     n_words = items.groupBy(F.col("id").alias("item_id")).agg(F.max(words).alias("n_words"))
     distinct = of_items.select("window").distinct()
     wanted = None
@@ -149,11 +155,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     texts = limit_arrow(docs).select(F.col("doc_id").cast("long").alias("id"), "text")
     of_docs = texts.mapInArrow(_emit(sizes, wanted, False), _SCHEMA).withColumnRenamed("id", "doc_id")
 
-    met = of_docs.join(of_items, "window").withColumn("shift", F.col("at") - F.col("item_at")).withColumn("kind", F.size("slots"))
+    met = of_docs.join(of_items, "window").withColumn("shift", F.col("at") - F.col("item_at")).withColumn("kind", F.when(F.col("literal"), -F.size("slots")).otherwise(F.size("slots")))
     of_whole = of_items.where(F.size("item_slots") == WINDOW).groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
     span = F.sequence("item_at", F.col("item_at") + F.size("slots") - 1)
     pair = F.arrays_zip(F.sequence(F.lit(0), F.size("slots") - 1).alias("j"), F.col("slots").alias("ours"), F.col("item_slots").alias("theirs"))
-    filled = F.transform(F.filter(pair, lambda x: x["ours"] != 0), lambda x: F.struct((F.col("item_at") + x["j"]).alias("place"), x["theirs"].alias("theirs"), x["ours"].alias("ours")))
+    filled = F.transform(F.filter(pair, lambda x: (x["ours"] != 0) & (x["theirs"] != 0)), lambda x: F.struct((F.col("item_at") + x["j"]).alias("place"), x["theirs"].alias("theirs"), x["ours"].alias("ours")))
     # an alignment holds no more windows than its item, so these sets are bounded by the benchmark
     aligned = met.groupBy("doc_id", "item_id", "shift", "kind").agg(F.array_distinct(F.flatten(F.collect_set(span))).alias("places"), F.collect_set(F.when(F.col("kind") == WINDOW, F.col("item_at"))).alias("starts"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("slots"))
     several = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(*[x[n] for n in names]))))

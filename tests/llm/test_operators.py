@@ -84,6 +84,12 @@ def test_leaks_of_edited_and_partial_copies(spark):
     assert leaked(spark, [again], [dense]) == {(0, 0)}
 
 
+def test_leaks_of_items_dense_in_slots(spark):
+    items = ["What Every Good Cook Should Know About Bread And Butter", "12 km 30 kg 45 s 7 mm 81 % 9 GB", "Zebra", "Alice Smith"]
+    texts = [f"so I read {x} and more" for x in items] + ["Nothing Of This Is What Every Cook Should Say"]
+    assert leaked(spark, texts, items) == {(k, k) for k in range(4)}
+
+
 # 2
 
 
