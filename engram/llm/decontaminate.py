@@ -4,7 +4,8 @@ A word is canonicalised to a typed placeholder if it is a number, a unit behind
 start of a sentence), and to its lower-case core without outer punctuation otherwise. Windows of ``WINDOW`` canonical
 words, and of ``SHORT``, are hash-joined with those of the benchmark, the short ones by
 their literal words as well, as windows of many slots have no other. The windows of one size that match along one alignment of text and item must map
-the item's slot values to the text's one to one: the same name always becomes the same other name. A document leaks an
+the item's names to the text's one to one: the same name always becomes the same other name; numbers and units are free. Literal
+windows are consistent in themselves, so a copy with a name changed in one place is held by the others. A document leaks an
 item if the windows of consistent alignments cover at least ``COVERAGE`` of the item's words, and ``WINDOW`` of them or all,
 or are that share of its windows of ``WINDOW`` words.
 """
@@ -36,6 +37,7 @@ _OUTER = ~(_DIGIT | _LETTER)
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[33, 46, 58, 59, 63]] = True
 _NUMBER, _UNIT, _NAME = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xC3A5C85C97CB3127)
+_IS_NAME = _U(2)  # the bit of a slot value that tells a name
 _unit_hashes: list[np.ndarray] = []
 
 
@@ -72,7 +74,7 @@ def canonical(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     name = capital & ~opens & ~number & ~unit
     code = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, core)))
-    value = np.where(number | unit | name, core | _U(1), _U(0))
+    value = np.where(number | unit | name, (core & ~_IS_NAME) | _U(1) | np.where(name, _IS_NAME, _U(0)), _U(0))
     return code, value, rows, core
 
 
@@ -162,7 +164,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     filled = F.transform(F.filter(pair, lambda x: (x["ours"] != 0) & (x["theirs"] != 0)), lambda x: F.struct((F.col("item_at") + x["j"]).alias("place"), x["theirs"].alias("theirs"), x["ours"].alias("ours")))
     # an alignment holds no more windows than its item, so these sets are bounded by the benchmark
     aligned = met.groupBy("doc_id", "item_id", "shift", "kind").agg(F.array_distinct(F.flatten(F.collect_set(span))).alias("places"), F.collect_set(F.when(F.col("kind") == WINDOW, F.col("item_at"))).alias("starts"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("slots"))
-    several = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(*[x[n] for n in names]))))
+    named = F.filter("slots", lambda x: x["ours"].bitwiseAND(int(_IS_NAME)) != 0)
+    several = lambda *names: F.size(F.array_distinct(F.transform(named, lambda x: F.struct(*[x[n] for n in names]))))
     pairs = several("theirs", "ours")
     consistent = aligned.where((pairs == several("theirs")) & (pairs == several("ours")))
     changed = F.size(F.filter("slots", lambda x: x["ours"] != x["theirs"]))

@@ -90,6 +90,16 @@ def test_leaks_of_items_dense_in_slots(spark):
     assert leaked(spark, texts, items) == {(k, k) for k in range(4)}
 
 
+def test_leaks_with_numbers_and_names_changed_apart(spark):
+    items = [
+        "a farmer keeps 3 hens in one yard and then buys 5 more from the market so how many are there",
+        "a shop sells 5 apples at a price of 5 dollars and the buyer pays with a large note today",
+        "the old teacher Alice walks to the quiet library every morning and reads a long book until Alice goes home for dinner with the children",
+    ]
+    texts = [items[0].replace("3", "4").replace("5", "4"), items[1].replace("5 apples", "3 apples").replace("5 dollars", "7 dollars"), items[2].replace("until Alice", "until Carol")]
+    assert leaked(spark, texts, items) == {(k, k) for k in range(3)}
+
+
 # 2
 
 
