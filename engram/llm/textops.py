@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from engram.session import visible_to_workers
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18  # temporaries of eight bytes for each then fit a core's cache
 SHINGLE = 5
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -312,6 +312,47 @@ def test_ngram_join(spark):
     assert ngram_join.join(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_ngram_join_of_few_short_texts(spark):
+    rnd = random.Random(7)
+    pool = ["a b c d e f", "a b c d e f g", "a b c", "c b a", "x y z u v w", "", None, "a b c d e f", "p q r s t u v w x y", "p q r s t u v w x z"]
+    cases = [["a b c d e f"], ["a b c", "x y z"], ["a b c", "a b c"], [None], [None, ""], *([rnd.choice(pool) for _ in range(rnd.randint(1, 5))] for _ in range(4))]
+    for texts in cases:
+        rows = list(enumerate(texts))
+        docs = spark.createDataFrame(rows, SCHEMA).withColumns({"row": F.lit("x"), "entity": F.lit(1), "_row": F.lit(2), "kept": F.lit(None).cast("int")})
+        expected = linked_by_hand(rows)
+        assert got(ngram_join.join(docs), "doc_id", "n_shingles", "component_id") == expected
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in expected}) and {r["row"] for r in kept.collect()} == {"x"}
+
+
+def test_ngram_join_of_long_and_many_like_texts(spark):
+    """Many variants of one text, of which some meet no centre, and a very long one."""
+    rnd = random.Random(3)
+    base = [f"w{rnd.randrange(400)}" for _ in range(120)]
+    rows = []
+    for i in range(220):
+        b = list(base)
+        for _ in range(rnd.choice([0, 1, 2, 2, 3, 3, 4])):
+            b[rnd.randrange(len(b))] = f"v{rnd.randrange(30)}"
+        rows.append((i, " ".join(b[rnd.randrange(6) :])))
+    rows += [(500, " ".join(f"z{rnd.randrange(900)}" for _ in range(60_000)))]
+    rows += [(501, rows[-1][1] + " end")]
+    expected = linked_by_hand(rows)
+    assert len({c for _, _, c in expected}) > 3
+    for per_fragment in (1 << 21, 1000):
+        assert got(ngram_join.join(frame(spark, rows), per_fragment=per_fragment), "doc_id", "n_shingles", "component_id") == expected
+
+
+def test_ngram_join_packs_places_beyond_their_bits(monkeypatch):
+    rnd = np.random.default_rng(5)
+    x = object.__new__(ngram_join._Fragment)
+    x.values, x.place = rnd.integers(0, 50, 600).astype(np.uint64), rnd.integers(0, 40, 600)
+    plain = x.runs(np.arange(40))
+    monkeypatch.setattr(ngram_join, "_PLACE_BITS", 3)
+    assert all((a == b).all() for a, b in zip(plain, x.runs(np.arange(40)), strict=True))
+
+
 def test_ngram_join_of_like_chunks(spark):
     """Partitions whose smallest and largest sets and whose number of sets are the same, with other sets between."""
     rnd = random.Random(4)
