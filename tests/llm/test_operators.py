@@ -448,6 +448,10 @@ def test_toxicity(spark):
     assert all(out[i]["held_out"] for i, _ in held)
     assert np.mean([out[i]["predicted"] == y for i, y in held]) > 0.97
     assert out[5002]["predicted"] == 1 and out[5000]["predicted"] == 0
+    clashing = frame(spark, rows).withColumns({"score": F.lit("s"), "toxic": F.lit(2), "bytes": F.lit(1), "_id": F.lit("i")})
+    kept = toxicity.clean(clashing, marked)
+    assert kept.columns == clashing.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in out.items() if not r["predicted"]}
     none = toxicity.classify(frame(spark, rows[:5]), marked.limit(0)).collect()
     assert len(none) == 5
     assert toxicity.classify(spark.createDataFrame([], SCHEMA), marked).count() == 0
@@ -473,6 +477,24 @@ def test_string_kernel():
     assert kernel[0, 1] == pytest.approx(sum(x[t] * y[t] for t in x) / norms[0] / norms[1], rel=1e-5)
 
 
+def test_machine_is_the_expansion_over_landmarks():
+    """A word's decision value is the weighted sum of its kernels with the landmarks, whatever the blocks."""
+    rnd = np.random.default_rng(4)
+    words = ["".join(chr(97 + x) for x in rnd.integers(0, 8, rnd.integers(1, 30))) for _ in range(60)] + ["a-b.c", "zé-ñz"]
+    raw = "".join(words).encode()
+    ends = np.cumsum([len(w.encode()) for w in words])
+    args = toxicity.encode_words(np.frombuffer(raw, dtype=np.uint8), np.append(0, ends[:-1]), ends)
+    vectors, weights = toxicity._vectors(*args)[:, :9], rnd.normal(size=9)
+    kernels = toxicity._features(*args, vectors)
+    folded = toxicity.decision(*args, (vectors @ weights).astype(np.float32), 0.25)
+    assert np.allclose(folded, kernels @ weights + 0.25, atol=1e-4)
+    block, toxicity._BLOCK = toxicity._BLOCK, 7
+    try:
+        assert np.allclose(toxicity._features(*args, vectors), kernels, atol=1e-6)
+    finally:
+        toxicity._BLOCK = block
+
+
 # 10
 
 
