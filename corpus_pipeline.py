@@ -7,7 +7,6 @@ result is written as Parquet to the shared folder and read again by the next one
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from engram.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
 from engram.session import materialise, table
@@ -15,9 +14,7 @@ from engram.session import materialise, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, does not call toxic."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    return toxicity.score(docs, model).where(F.col("score") < 0.5).select(*names)
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
