@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from engram.session import shared_dir, shuffle_partitions
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` written to the shared folder as a table that is bucketed by ``key``."""
+def bucketed(df: DataFrame, key: str, name: str, deal: bool = False) -> DataFrame:
+    """``df`` written to the shared folder as a table that is bucketed by ``key``.
+
+    ``deal``: shuffle by the key first, so that a bucket is one file; otherwise ``df`` should be dealt by it already.
+    """
     spark = df.sparkSession
-    table = f"engram_{name}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(max(shuffle_partitions(spark), 8), key).saveAsTable(table)
+    table, n = f"engram_{name}_{uuid.uuid4().hex}", max(shuffle_partitions(spark), 8)
+    rows = df.repartition(n, key) if deal else df
+    rows.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(n, key).saveAsTable(table)
     return spark.table(table)
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """``docs`` with a column ``row``, bucketed by it."""
-    return bucketed(docs.withColumn("row", F.monotonically_increasing_id()), "row", "rows")
+    return bucketed(docs.withColumn("row", F.monotonically_increasing_id()), "row", "rows", deal=True)

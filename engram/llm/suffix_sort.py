@@ -10,7 +10,6 @@ from __future__ import annotations
 import numpy as np
 
 _FIRST_BLOCK, _LAST_BLOCK = 256, 1 << 18
-SHORT = 1 << 19
 
 
 def _narrow(t: np.ndarray, kinds: int) -> np.ndarray:
@@ -114,27 +113,15 @@ def _names(t: np.ndarray, ordered: np.ndarray, lms: np.ndarray) -> tuple[np.ndar
     return name[lms], int(name[ordered[-1]]) + 1
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array of a short string by ranks of prefixes of doubling length: where the recursion ends."""
-    n, h = len(t), 1
-    rank = t.astype(np.int64)
-    while True:
-        key = rank * (n + 1)
-        key[: max(n - h, 0)] += rank[h:] + 1
-        order = np.argsort(key, kind="stable")
-        fresh = np.append(True, key[order[1:]] != key[order[:-1]])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(fresh) - 1
-        if fresh.all():
-            return order
-        h *= 2
-
-
-def suffix_array(t: np.ndarray, kinds: int, short: int = SHORT) -> np.ndarray:
-    """Suffix array of symbols below ``kinds``; the last symbol must be 0 and occur nowhere else."""
+def suffix_array(t: np.ndarray, kinds: int) -> np.ndarray:
+    """Suffix array of symbols below ``kinds``; the last symbol must be 0 and occur nowhere else.
+
+    The LMS substrings are sorted by induction and named; where names repeat, their string is sorted the same way, which
+    ends when all names differ.
+    """
     n = len(t)
-    if n <= max(short, 1) and kinds <= n + 1:
-        return _doubled(t)
+    if n == 1:
+        return np.zeros(1, dtype=np.int64)
     t = _narrow(t, kinds)
     is_s = s_types(t)
     is_lms = np.zeros(n, dtype=bool)
@@ -145,7 +132,7 @@ def suffix_array(t: np.ndarray, kinds: int, short: int = SHORT) -> np.ndarray:
     ordered = sa[is_lms[sa]]
     reduced, found = _names(t, ordered, lms)
     if found < len(lms):
-        ordered = lms[suffix_array(reduced, found, short)]
+        ordered = lms[suffix_array(reduced, found)]
     return _fill(t, is_s, ordered, sizes)
 
 

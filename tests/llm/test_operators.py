@@ -212,7 +212,21 @@ def test_suffix_arrays():
         n, k = rnd.randint(1, 60), rnd.choice([2, 3, 5, 250])
         t = np.array([rnd.randint(1, k) if rnd.random() < 0.9 else 1 for _ in range(n)] + [0])
         s = t.tolist()
-        assert suffix_sort.suffix_array(t, int(t.max()) + 1, rnd.choice([1, 8])).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+        assert suffix_sort.suffix_array(t, int(t.max()) + 1).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_suffix_arrays_recurse(monkeypatch):
+    """The string of names is sorted by induction again, level by level."""
+    depths = []
+    plain = suffix_sort.suffix_array
+    monkeypatch.setattr(suffix_sort, "suffix_array", lambda t, kinds: depths.append(len(t)) or plain(t, kinds))
+    a, b = [1], [1, 2]
+    while len(b) < 3000:  # a Fibonacci word, full of repeats
+        a, b = b, b + a
+    t = np.array([*b, 0])
+    s = bytes(t.tolist())
+    assert suffix_sort.suffix_array(t, 3).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+    assert len(depths) > 3 and depths == sorted(depths, reverse=True)
 
 
 def removed_by_hand(rows, length):
@@ -229,13 +243,14 @@ def removed_by_hand(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("length, gram", [(20, 8), (12, 12)])
-def test_repeats(spark, length, gram):
+@pytest.mark.parametrize("length, gram, hot", [(20, 8, 1 << 26), (12, 12, 1 << 26), (20, 8, 100)])
+def test_repeats(spark, length, gram, hot):
     rnd = random.Random(5)
     piece = lambda: "".join(rnd.choice("abé ") for _ in range(rnd.randint(0, 60)))
     base = [piece() for _ in range(12)]
     rows = [(i, rnd.choice(base) + piece() + rnd.choice(base)) for i in range(60)] + [(100, None), (101, ""), (102, "a" * 90), (103, base[0] * 3), (103, base[0] * 3), (None, base[1] * 2)]
-    out = suffix_dedup.remove_repeats(frame(spark, rows), length, gram, 500)
+    rows += [(110 + i, piece() + base[2][:14] + piece()) for i in range(30)] + [(200, "".join(rnd.choice("ab") for _ in range(700)))]
+    out = suffix_dedup.remove_repeats(frame(spark, rows), length, gram, 500, hot_bytes=hot, piece=100)
     assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_by_hand(rows, length)
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], SCHEMA), length, gram).count() == 0
 
