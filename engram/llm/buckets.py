@@ -5,23 +5,26 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from engram.session import shared_dir, shuffle_partitions
 
 
-def bucketed(df: DataFrame, key: str, name: str, deal: bool = False) -> DataFrame:
-    """``df`` written to the shared folder as a table that is bucketed by ``key``.
+def number_for(df: DataFrame) -> int:
+    """How many buckets for ``df`` by its estimated size: few for a small table, and none of more than some 64 MB."""
+    dealt = max(shuffle_partitions(df.sparkSession), 8)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 50:  # not known
+        return dealt
+    return max(8, min(size >> 23, dealt), size >> 26)
 
-    ``deal``: shuffle by the key first, so that a bucket is one file; otherwise ``df`` should be dealt by it already.
+
+def bucketed(df: DataFrame, key: str, name: str, n: int = 0) -> DataFrame:
+    """``df`` written to the shared folder as a table that is bucketed by ``key``, in ``n`` buckets.
+
+    Without ``n``, ``df`` should be dealt by the key already, to as many partitions as shuffles have.
     """
     spark = df.sparkSession
-    table, n = f"engram_{name}_{uuid.uuid4().hex}", max(shuffle_partitions(spark), 8)
-    rows = df.repartition(n, key) if deal else df
+    table = f"engram_{name}_{uuid.uuid4().hex}"
+    rows, n = (df.repartition(n, key), n) if n else (df, max(shuffle_partitions(spark), 8))
     rows.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(n, key).saveAsTable(table)
     return spark.table(table)
-
-
-def keep(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``row``, bucketed by it."""
-    return bucketed(docs.withColumn("row", F.monotonically_increasing_id()), "row", "rows", deal=True)

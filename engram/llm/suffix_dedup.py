@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import packed, suffix_sort, textops
-from engram.llm.buckets import bucketed
+from engram.llm.buckets import bucketed, number_for
 from engram.llm.textops import limit_arrow, mix
 from engram.session import free_shuffles, materialise, shuffle_partitions
 
@@ -259,7 +259,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if copies > 1:
                 mark[1:-1] = 1
             for x in found or []:
-                mark[np.frombuffer(x, np.int32) + 1] = 1
+                mark[packed.numbers(x, np.int32) + 1] = 1
             spans.append(np.flatnonzero(np.diff(mark)).tolist())
         yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("digest"), pa.array(spans, pa.list_(pa.int32()))], ["anchor", "digest", "spans"])
 
@@ -306,7 +306,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     parts = max(shuffle_partitions(spark), 64)
     gram = min(gram, length)
     numbered = limit_arrow(docs).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kept = bucketed(numbered, "rid", "suffix", deal=True)
+    n = number_for(docs)
+    kept = bucketed(numbered, "rid", "suffix", n)
 
     sent = kept.select("rid", "text").mapInArrow(_records(length, gram, parts, piece), _REGIONS)
     found = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_recurring(length, hot_bytes), _FOUND)
@@ -314,7 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     free_shuffles(spark)
     # an anchor of one region needs no sorting: its copies are equal as they are
     open_heads = found.where("head AND NOT alone")
-    wanted = open_heads.groupBy("rid").agg(F.collect_list(F.struct("first", "windows", "anchor", "digest", "copies", "hot")).alias("wanted"))
+    wanted = open_heads.repartition(n, "rid").groupBy("rid").agg(F.collect_list(F.struct("first", "windows", "anchor", "digest", "copies", "hot")).alias("wanted"))
     blobs = kept.select("rid", "text").join(wanted, "rid").select("text", "wanted").mapInArrow(_fetch(length), "anchor long, digest long, copies long, hot boolean, bytes binary")
     solved = blobs.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(_shards(length, shard_bytes), "anchor long, digest long, spans array<int>")
     if not found.where("hot AND NOT alone").isEmpty():
@@ -330,7 +331,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct((F.col("first") + F.get("spans", i)).alias("a"), (F.col("first") + F.get("spans", i + 1)).alias("b")))
     hits = places.join(told, ["anchor", "digest", "salt"]).select("rid", F.explode(pairs).alias("span"))
     whole = found.where("alone").select("rid", F.struct(F.col("first").alias("a"), (F.col("first") + F.col("windows")).alias("b")).alias("span"))
-    per_doc = hits.union(whole).groupBy("rid").agg(F.collect_list("span").alias("spans"))
+    per_doc = hits.union(whole).repartition(n, "rid").groupBy("rid").agg(F.collect_list("span").alias("spans"))
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
     result = kept.join(per_doc.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "spans").mapInArrow(_remove(length, with_text), columns)
     return result if with_text else result.drop("kept")

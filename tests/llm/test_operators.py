@@ -117,8 +117,8 @@ def lines_by_hand(rows, t):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("steps, held", [(2048, 1 << 20), (1, 40)])
-def test_lines(spark, steps, held):
+@pytest.mark.parametrize("steps, candidates", [(2048, 32), (1, 1), (2, 3)])
+def test_lines(spark, steps, candidates):
     rnd = random.Random(2)
     vocabulary = [f"w{int(rnd.random() ** 3 * 60)}" for _ in range(300)]
     base = [[rnd.choice(vocabulary) for _ in range(rnd.randint(1, 25))] for _ in range(20)]
@@ -132,7 +132,7 @@ def test_lines(spark, steps, held):
             text.append(" ".join(b))
         rows.append((i, "\n".join(text)))
     rows += [(900, None), (901, ""), (902, " \n\n"), (903, "A b"), (904, "b  a")]
-    out = line_dedup.remove_lines(frame(spark, rows), 80, steps, held)
+    out = line_dedup.remove_lines(frame(spark, rows), 80, steps, candidates)
     assert got(out, "doc_id", "n_lines", "n_removed", "kept") == lines_by_hand(rows, 80)
 
 
@@ -143,6 +143,26 @@ def test_lines_of_repeated_rows(spark):
     assert line_dedup.remove_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_lines_with_clashing_columns_and_few_rows(spark):
+    for rows in ([(1, "a")], [(1, None)], [(1, "")], [(1, "x y\nx y"), (2, "y x")], [(1, "\n\n"), (2, "last\n"), (3, "last\nb"), (0, "b\nlast")]):
+        docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(c) for c in ("lines", "kept", "row", "n_lines", "n_removed", "part", "c0", "same")})
+        out = line_dedup.clean(docs)
+        assert out.columns == docs.columns and all(r["kept"] == "kept" and r["row"] == "row" for r in out.collect())
+        assert got(out, "doc_id", "text") == sorted(((i, t) for i, _, _, t in lines_by_hand(rows, 80)), key=str)
+
+
+def test_lines_of_long_texts_and_many_like_lines(spark):
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(40)]
+    like = lambda: " ".join(x if rnd.random() > 0.06 else f"v{rnd.randrange(50)}" for x in base)
+    rows = [(i, "\n".join([f"head {i} of this", *(like() for _ in range(3))])) for i in range(60)]
+    rows += [(100, "\n".join(f"line {rnd.randrange(30_000)} {rnd.randrange(9)} of a long text" for _ in range(20_000))), (101, "z" * 400_000), (102, "z" * 400_000)]
+    rows[60] = (100, "\n".join(rows[60][1].split("\n")[:600]) + "\n" + " ".join(f"q{k}" for k in range(90_000)))
+    for steps, candidates in ((2048, 32), (20, 2)):
+        out = line_dedup.remove_lines(frame(spark, rows), 80, steps, candidates)
+        assert got(out, "doc_id", "n_lines", "n_removed", "kept") == lines_by_hand(rows, 80)
+
+
 # 3
 
 
