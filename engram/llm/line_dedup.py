@@ -33,12 +33,12 @@ THRESHOLD = 80  # percent
 RANK_BITS, REST_BITS = 20, 30
 MOST_STEPS = 4096  # neighbours by size under one word that are compared in the first pass
 CANDIDATES, WIDER = 48, 16  # of a line that are verified before the second pass; so many times more if even the best one is in doubt
-PER_FRAGMENT = 1 << 23  # words of the corpus
-LEAST_FRAGMENTS, MOST_FRAGMENTS = 16, 1 << 16
+PER_FRAGMENT = 1 << 22  # words of the corpus
+LEAST_FRAGMENTS, MOST_FRAGMENTS = 32, 1 << 16
 CHUNK = 1 << 20  # words
 MARKS = 1 << 24
 _SUMS = 16
-_AT_ONCE = 1 << 20  # pairs
+_AT_ONCE = 1 << 19  # pairs
 _U = np.uint64
 _WORD_BITS = RANK_BITS + REST_BITS
 _LEAST = np.iinfo(np.int64).min
@@ -252,6 +252,7 @@ def _met(rows: list[dict], threshold: int, most_steps: int, candidates: int, par
     x = {c: packed.joined(rows, c, t) for c, t in _ENTITY.items() if c != "open" or only_open}
     entity = np.repeat(np.arange(len(x["same"])), packed.joined(rows, "count", np.int32))
     word, at = packed.joined(rows, "word", _U), packed.joined(rows, "at", np.int32)
+    rows.clear()
     # a set that several chunks hold is at its first place
     by = np.lexsort((x["line"], x["row"], x["doc_id"], x["same"]))
     head = np.append(True, x["same"][by][1:] != x["same"][by][:-1])
@@ -263,13 +264,15 @@ def _met(rows: list[dict], threshold: int, most_steps: int, candidates: int, par
     own[by] = place[heads][np.cumsum(head) - 1]
     entity = own[entity]
     # each word's list by size; places in ``x`` are in order of the first places
-    number = np.unique(word, return_inverse=True)[1]
+    number = np.unique(word, return_inverse=True)[1].astype(np.int32)
+    del word
     by = np.lexsort((entity, x["size"][entity], number))
     group, entity = number[by], entity[by]
     fresh = np.append(len(by) > 0, (group[1:] != group[:-1]) | (entity[1:] != entity[:-1]))
     group, entity, by = group[fresh], entity[fresh], by[fresh]
     begin = np.flatnonzero(np.append(len(group) > 0, group[1:] != group[:-1]))
     length = np.diff(np.append(begin, len(group)))
+    del number, own, place, head, heads
     entry = {"size": x["size"][entity].astype(np.int64), "at": at[by].astype(np.int64), "bits": x["bits"][entity], "more_bits": x["more_bits"][entity]}
     more = np.zeros(len(first), dtype=bool)
     met: list[tuple] = []
@@ -300,9 +303,10 @@ def _met(rows: list[dict], threshold: int, most_steps: int, candidates: int, par
         })
 
     active = np.arange(len(group))
+    del group, by, at, fresh
     begin, number = np.repeat(begin, length), np.repeat(np.arange(len(begin)), length)
-    if only_open and len(group):
-        active = active[np.repeat(np.maximum.reduceat(x["open"][entity], np.unique(begin)), length) > 0]
+    if only_open and len(active):
+        active = active[np.repeat(np.maximum.reduceat(x["open"][entity], np.cumsum(length) - length), length) > 0]
     size, step = 0, 0
     while True:
         step += 1

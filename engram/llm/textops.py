@@ -161,6 +161,8 @@ def row_sets(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def limit_arrow(df, rows: int = 1000):
     """Bound Arrow batches, so that a worker holds few long texts at once, and let workers import the package."""
     visible_to_workers(df.sparkSession)
+    for name, most in (("MALLOC_MMAP_THRESHOLD_", 4 << 20), ("MALLOC_TRIM_THRESHOLD_", 16 << 20)):  # idle workers give large arrays back
+        df.sparkSession.sparkContext.environment.setdefault(name, str(most))
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
