@@ -33,9 +33,9 @@ THRESHOLD = 80  # percent
 RANK_BITS, REST_BITS = 20, 30
 MOST_STEPS = 4096  # neighbours by size under one word that are compared in the first pass
 CANDIDATES, WIDER = 48, 16  # of a line that are verified before the second pass; so many times more if even the best one is in doubt
-PER_FRAGMENT = 1 << 22  # words of the corpus
-LEAST_FRAGMENTS, MOST_FRAGMENTS = 32, 1 << 16
-CHUNK = 1 << 20  # words
+PER_FRAGMENT = 1 << 21  # words of the corpus
+LEAST_FRAGMENTS, MOST_FRAGMENTS = 64, 1 << 16
+CHUNK = 1 << 19  # words
 MARKS = 1 << 24
 _SUMS = 16
 _AT_ONCE = 1 << 19  # pairs

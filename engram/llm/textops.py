@@ -158,12 +158,23 @@ def row_sets(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return v[keep], r[keep]
 
 
+_WORKERS = {  # idle workers give memory back, as does Arrow
+    "MALLOC_MMAP_THRESHOLD_": str(4 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(16 << 20),
+    "MALLOC_ARENA_MAX": "2",
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+}
+BATCH_BYTES = 4 << 20
+
+
 def limit_arrow(df, rows: int = 1000):
     """Bound Arrow batches, so that a worker holds few long texts at once, and let workers import the package."""
     visible_to_workers(df.sparkSession)
-    for name, most in (("MALLOC_MMAP_THRESHOLD_", 4 << 20), ("MALLOC_TRIM_THRESHOLD_", 16 << 20)):  # idle workers give large arrays back
-        df.sparkSession.sparkContext.environment.setdefault(name, str(most))
+    for name, value in _WORKERS.items():
+        df.sparkSession.sparkContext.environment.setdefault(name, value)
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = (conf.get(name, None) or "").rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
     return df
