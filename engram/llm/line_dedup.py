@@ -32,7 +32,7 @@ from engram.session import free_shuffles, materialise, shuffle_partitions
 THRESHOLD = 80  # percent
 RANK_BITS, REST_BITS = 20, 30
 MOST_STEPS = 4096  # neighbours by size under one word that are compared in the first pass
-CANDIDATES, WIDER = 48, 16  # of a line that are verified before the second pass; so many times more if even the best one is in doubt
+CANDIDATES, WIDER = 8, 32  # of a line that are verified before the second pass; so many times more if even the best one is in doubt
 PER_FRAGMENT = 1 << 21  # words of the corpus
 LEAST_FRAGMENTS, MOST_FRAGMENTS = 64, 1 << 16
 CHUNK = 1 << 19  # words
@@ -291,7 +291,7 @@ def _met(rows: list[dict], threshold: int, most_steps: int, candidates: int, par
         # a line whose best candidate differs, by its bits, in most of what is allowed may need many
         differs = -64 * np.log1p(-np.minimum(apart[start], 63) / 64)
         allowed = (x["size"][i[start]].astype(np.int64) + x["size"][j[start]]) * (100 - threshold) / (100 + threshold)
-        most = np.repeat(np.where(differs > 0.65 * allowed, candidates * WIDER, candidates), sizes)
+        most = np.repeat(np.where(differs > 0.8 * allowed, candidates * WIDER, candidates), sizes)
         within = np.arange(len(i)) - np.repeat(start, sizes) < most
         more[i[~within]] = True
         return i[within], j[within], apart[within]
