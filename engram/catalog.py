@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.functions import filters, lexical, vector
+from engram.functions import filters, lexical
 from engram.functions.embedding import ngram_embed
 from engram.operators import lifecycle, memory
 from engram.operators.graph import similar
-from engram.operators.search import Search, batch_knn, knn, search
+from engram.operators.search import Search, batch_above, batch_knn, knn, search
 from engram.plans import cypher
 from engram.session import table
 from engram.sources import fixtures
@@ -94,13 +94,12 @@ def v7_capability_gate(spark, sf_dir):
 
 
 @query("""SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, embeddings b
-    WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.8""")
+    WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4""")
 def v8_similar_above(spark, sf_dir):
-    """All rows at least 0.8 similar to a query row; queries are blocks of vectors, so no pair table is formed."""
+    """All rows at least 0.4 similar to a query row; queries are blocks of vectors, so no pair table is formed."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))
-    s = vector.dot(F.col("vector"), F.col("asked"))
-    return rows.join(asked, F.col("id") != F.col("query_id")).where(s >= 0.8).select("query_id", "id", _r6(s).alias("similarity"))
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    return batch_above(rows, asked, 0.4).where("id <> query_id").select("query_id", "id", _r6("similarity").alias("similarity"))
 
 
 # filters
@@ -332,7 +331,7 @@ for _name, (_source, _sql) in _CYPHER.items():
 
 @query(hybrid_sql(where="kind IN ('en', 'fr') AND list_contains(tags, 'src0') AND created_ms >= " + str(fixtures.BASE_MS), decay=_DECAY_SQL, alpha=0.6))
 def m1_recall(spark, sf_dir):
-    hits = memory.recall(fixtures.records(spark, sf_dir), fixtures.query_vector(spark, sf_dir), fixtures.NOW_MS, TEXT, kinds=["EN", "fr"], tags=["src0"], since_ms=fixtures.BASE_MS)
+    hits = memory.recall(fixtures.records(spark, sf_dir), fixtures.query_vector(spark, sf_dir), fixtures.NOW_MS, TEXT, kinds=["EN", "fr"], tags=["src0"], since_ms=fixtures.BASE_MS, half_life_days=30)
     return hits.select("id", _r6("final").alias("final"), "dense_rank", "lexical_rank", "rank")
 
 
@@ -529,7 +528,11 @@ def w5_purge(spark, sf_dir):
     return lifecycle.purge(d.where("id % 13 = 0").select("id"), documents=d, labels=labels)[1]
 
 
-@query("SELECT count(*) AS rows, sum(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(lang, '') || '|' || coalesce(source, '') || '|' || coalesce(text, '')), 1, 8))::BIGINT)::BIGINT AS checksum FROM documents")
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+@query(f"SELECT count(*) AS rows, coalesce(sum(('0x' || substr(sha256({_field('doc_id')} || ',' || {_field('lang')} || ',' || {_field('source')} || ',' || {_field('text')}), 1, 15))::BIGINT), 0)::VARCHAR AS checksum FROM documents")
 def w6_snapshot_checksum(spark, sf_dir):
     return lifecycle.checksum(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
 

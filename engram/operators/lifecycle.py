@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from engram.errors import EngineError, invalid
 from engram.functions import vector
-from engram.session import visible_to_workers
+from engram.session import materialise, shuffle_partitions, visible_to_workers
 
 GENESIS = "0" * 64
 MOST_RECENT = 32
@@ -53,8 +53,28 @@ def evictions(records: DataFrame, target: int, score: Column, per_cluster: int =
         return records.select("id", F.lit(0.0).alias("score"), F.lit("").alias("cluster")).limit(0)
     cluster = F.concat(F.coalesce("kind", F.lit("")), F.lit("|"), F.coalesce(F.get("tags", F.lit(0)), F.lit("")))
     scored = records.where(~F.coalesce("pinned", F.lit(False))).select("id", score.alias("score"), cluster.alias("cluster"))
+    scored = materialise(scored, "scores")
+    # a rank filter is applied in each task before the shuffle, so a large cluster sends only its best
     place = F.row_number().over(W.partitionBy("cluster").orderBy(F.col("score").desc(), F.col("id").desc()))
-    return scored.withColumn("_p", place).where(F.col("_p") > per_cluster).drop("_p").orderBy("score", "id").limit(before - target)
+    kept = scored.withColumn("_p", place).where(F.col("_p") <= per_cluster).select("id")
+    return lowest(scored.join(kept, "id", "left_anti"), before - target, "score", "id")
+
+
+def lowest(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The ``n`` first rows by ``order``, for large ``n``: rows are sorted in ranges, and only the range of the cut is ranked.
+
+    Ranges are counted (a number for each reaches the driver); the whole ones below the cut are taken as they are.
+    """
+    parts = shuffle_partitions(rows.sparkSession)
+    dealt = materialise(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect())
+    below, left = -1, n
+    for k, size in counts:
+        if size > left:
+            rest = dealt.where(F.col("_range") == k).orderBy(*order).limit(left)
+            return dealt.where(F.col("_range") <= below).unionByName(rest).drop("_range")
+        below, left = k, left - size
+    return dealt.drop("_range")
 
 
 def compact(records: DataFrame, target: int, score: Column, per_cluster: int = 2) -> DataFrame:
@@ -126,16 +146,22 @@ def reembed(records: DataFrame, embed: Callable[[Column], Column], text: str = "
 
 
 def checksum(df: DataFrame) -> DataFrame:
-    """(rows, checksum): a sum over row digests, the same in any order of rows and on any number of tasks."""
-    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)]))
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")), F.lit(0).cast("long")).alias("checksum"))
+    """(rows, checksum): a sum over row digests, the same in any order of rows and on any number of tasks.
+
+    Fields are written with their lengths in bytes and nulls with a mark of their own, so no two rows read alike; of each
+    row's sha256, 60 bits are summed exactly.
+    """
+    fields = [F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(f"`{n}`").cast("string") for n in sorted(df.columns))]
+    digest = F.sha2(F.concat_ws(",", *fields), 256)
+    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("checksum"))
 
 
 # witness
 
 
 def entry_hash(previous: str, seq: int, operation: str, record: str, payload_hash: str, timestamp: str, actor: str) -> str:
-    return hashlib.sha256("|".join([previous, str(seq), operation, record, payload_hash, timestamp, actor]).encode()).hexdigest()
+    return hashlib.sha256("|".join([previous, str(seq), *(x or "" for x in (operation, record, payload_hash, timestamp, actor))]).encode()).hexdigest()
 
 
 _ENTRY = "log string, seq long, prev_hash string, hash string, operation string, record_id string, timestamp string, actor string, payload_hash string"
@@ -168,7 +194,8 @@ def append(entries: DataFrame, heads: DataFrame | None = None) -> DataFrame:
 
 def verify(log: DataFrame) -> DataFrame:
     """(log, entries, ok, first_break): each entry is checked against the one before by a join on the sequence number."""
-    told = F.concat_ws("|", "prev_hash", F.col("seq").cast("string"), "operation", "record_id", "payload_hash", "timestamp", "actor")
+    fields = [F.coalesce(F.col(c), F.lit("")) for c in ("operation", "record_id", "payload_hash", "timestamp", "actor")]
+    told = F.concat_ws("|", "prev_hash", F.col("seq").cast("string"), *fields)
     before = log.select("log", (F.col("seq") + 1).alias("seq"), F.col("hash").alias("_before"))
     linked = log.join(before, ["log", "seq"], "left")
     expected = F.when(F.col("seq") == 1, F.lit(GENESIS)).otherwise(F.col("_before"))

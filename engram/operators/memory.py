@@ -104,11 +104,11 @@ def pack_budget(hits: DataFrame, budget: int, k: int, tokens: str = "tokens", ra
     return hits.join(F.broadcast(chosen), rank, "left_semi")
 
 
-def recall(records: DataFrame, query: Sequence[float], now_ms: int, text: str | None = None, k: int = 10, half_life_days: float = 30, min_similarity: float | None = None, feedback: DataFrame | None = None, budget_tokens: int | None = None, alpha: float = 0.6, gate: str | None = None, capabilities: int | None = None, **chosen) -> DataFrame:
-    """Hybrid recall: filter, fuse, decay, then similarity floor, learning boost and token budget."""
+def recall(records: DataFrame, query: Sequence[float], now_ms: int, text: str | None = None, k: int = 10, half_life_days: float | None = None, min_similarity: float | None = None, feedback: DataFrame | None = None, budget_tokens: int | None = None, alpha: float = 0.6, gate: str | None = None, capabilities: int | None = None, **chosen) -> DataFrame:
+    """Hybrid recall: filter, fuse, decay (only with a half-life), then similarity floor, learning boost and token budget."""
     where = recall_filter(now_ms, columns=records.columns, **chosen)
     fetch = min(3 * k, 1000) if budget_tokens else k
-    s = Search(query, fetch, where=where, lexical=text, alpha=alpha, decay={"half_life_days": half_life_days, "now_ms": now_ms}, gate=gate, capabilities=capabilities)
+    s = Search(query, fetch, where=where, lexical=text, alpha=alpha, decay={"half_life_days": half_life_days, "now_ms": now_ms} if half_life_days else None, gate=gate, capabilities=capabilities)
     hits = search(records, s)
     if min_similarity is not None:
         hits = hits.where(F.col("similarity") >= min_similarity)

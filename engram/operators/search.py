@@ -6,7 +6,7 @@ over-fetched candidates are re-ranked; they are bounded by ``MAX_OVERFETCH``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from engram.errors import MAX_DIMENSION, MAX_K, MAX_OVERFETCH, MAX_QUERY_CHARS, EngineError, invalid
 from engram.functions import lexical, vector
 from engram.functions.filters import capability_gate, compile_filter
-from engram.session import visible_to_workers
+from engram.session import materialise, visible_to_workers
 
 MOST_QUERY_BYTES = 64 << 20
 COHERENT = 200
@@ -83,43 +83,74 @@ def knn(records: DataFrame, query: Sequence[float], k: int, metric: str = "cosin
     return near.orderBy("distance", key).limit(k)
 
 
-def batch_knn(records: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "id") -> DataFrame:
+def _distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of each query (row) to each vector (column)."""
+    if metric == "cosine":
+        return np.maximum(0.0, 1 - q @ x.T)
+    if metric == "dotProduct":
+        return -(q @ x.T)
+    if metric == "euclidean":
+        return np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2))
+    return np.abs(q[:, None] - x[None]).sum(axis=2)
+
+
+def _in_steps(batches: Iterator[pa.RecordBatch], n_queries: int, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, vectors) of so few rows at a time that a product with all queries stays small."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.array(batch.column(0).to_pylist(), dtype=object)
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
+        step = max(1, (1 << 22) // max(1, n_queries * (x.shape[1] if metric in ("euclidean", "manhattan") else 1)))
+        for i in range(0, len(x), step):
+            yield keys[i : i + step], x[i : i + step]
+
+
+def _by_blocks(records: DataFrame, queries: DataFrame, kernel: Callable, schema: str, key: str, block_bytes: int) -> DataFrame:
+    """Rows that ``kernel(shared)`` makes of all records for every block of queries.
+
+    One block is the usual case. If the queries exceed ``block_bytes``, they are written once and dealt to blocks by hash,
+    and each block's rows are written before the next block is read, so the driver holds a single block.
+    """
+    spark = records.sparkSession
+    visible_to_workers(spark)
+    asked, rows = queries.select("query_id", "vector"), records.select(key, "vector")
+
+    def read(block: DataFrame):
+        found = block.toArrow()
+        ids = found.column("query_id").to_pylist()
+        return spark.sparkContext.broadcast((ids, np.array(found.column("vector").to_pylist(), dtype=np.float64).reshape(len(ids), -1 if ids else 0)))
+
+    size = asked.agg(F.sum(8 * F.size("vector") + 32)).first()[0] or 0
+    if size <= block_bytes:
+        return rows.mapInArrow(kernel(read(asked)), schema)
+    blocks = 2 * -(-size // block_bytes)
+    asked, out = materialise(asked, "queries"), None
+    for b in range(blocks):
+        shared = read(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+        part = materialise(rows.mapInArrow(kernel(shared), schema), f"block{b}")
+        shared.destroy()
+        out = part if out is None else out.union(part)
+    return out
+
+
+def batch_knn(records: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "id", block_bytes: int = MOST_QUERY_BYTES) -> DataFrame:
     """(query_id, key, distance, rank) of the ``k`` nearest rows of each query (columns query_id, vector).
 
     Queries are read in blocks of a bounded size and multiplied with Arrow batches of the records; each task keeps ``k``
     rows a query, so what is shuffled doesn't grow with the records a task reads.
     """
-    visible_to_workers(records.sparkSession)
-    found = queries.select("query_id", "vector").toArrow()
-    if found.nbytes > MOST_QUERY_BYTES:
-        raise EngineError("LIMIT_EXCEEDED", "the queries of one batch must fit in 64 MB; split them")
-    ids = found.column("query_id").to_pylist()
-    q = np.array(found.column("vector").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-    shared = records.sparkSession.sparkContext.broadcast((ids, q))
     key_type = records.schema[key].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
     arrow = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(records.schema[key].dataType)
 
-    def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-        if metric == "cosine":
-            return np.maximum(0.0, 1 - q @ x.T)
-        if metric == "dotProduct":
-            return -(q @ x.T)
-        if metric == "euclidean":
-            return np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2))
-        return np.abs(q[:, None] - x[None]).sum(axis=2)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        best_d, best_k = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=object)
-        for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            keys = np.array(batch.column(0).to_pylist(), dtype=object)
-            x = flat.reshape(len(keys), -1)
-            step = max(1, (1 << 22) // max(1, len(ids) * (x.shape[1] if metric in ("euclidean", "manhattan") else 1)))
-            for i in range(0, len(x), step):
-                d = np.hstack([best_d, distances(x[i : i + step], q)])
-                names = np.hstack([best_k, np.broadcast_to(keys[i : i + step], (len(ids), len(keys[i : i + step])))])
+    def kernel(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            best_d, best_k = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=object)
+            for keys, x in _in_steps(batches, len(ids), metric) if ids else ():
+                d = np.hstack([best_d, _distances(metric, x, q)])
+                names = np.hstack([best_k, np.broadcast_to(keys, (len(ids), len(keys)))])
                 if d.shape[1] > k:
                     at = np.argpartition(d, k - 1, axis=1)[:, :k]
                     edge = np.take_along_axis(d, at, 1).max(axis=1)
@@ -128,15 +159,38 @@ def batch_knn(records: DataFrame, queries: DataFrame, k: int, metric: str = "cos
                             at[r] = sorted(range(d.shape[1]), key=lambda c, r=r, d=d, names=names: (d[r, c], names[r, c]))[:k]
                     d, names = np.take_along_axis(d, at, 1), np.take_along_axis(names, at, 1)
                 best_d, best_k = d, names
-        n = best_d.shape[1]
-        if n and len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in ids for _ in range(n)], arrow[0]), pa.array(best_k.ravel().tolist(), arrow[1]), pa.array(best_d.ravel())], ["query_id", key, "distance"])
+            n = best_d.shape[1]
+            if n and len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array([x for x in ids for _ in range(n)], arrow[0]), pa.array(best_k.ravel().tolist(), arrow[1]), pa.array(best_d.ravel())], ["query_id", key, "distance"])
+
+        return run
 
-    near = records.select(key, "vector").mapInArrow(run, f"query_id {query_type}, `{key}` {key_type}, distance double")
+    near = _by_blocks(records, queries, kernel, f"query_id {query_type}, `{key}` {key_type}, distance double", key, block_bytes)
     place = F.row_number().over(W.partitionBy("query_id").orderBy("distance", key))
     return near.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def batch_above(records: DataFrame, queries: DataFrame, similarity: float, metric: str = "cosine", key: str = "id", block_bytes: int = MOST_QUERY_BYTES) -> DataFrame:
+    """(query_id, key, similarity) of all rows at least so similar to a query; queries are read in blocks as in ``batch_knn``."""
+    key_type = records.schema[key].dataType.simpleString()
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    arrow = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(records.schema[key].dataType)
+
+    def kernel(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for keys, x in _in_steps(batches, len(ids), metric) if ids else ():
+                d = _distances(metric, x, q)
+                alike = 1 - d if metric == "cosine" else -d if metric == "dotProduct" else 1 / (1 + d)
+                at, of = np.nonzero(alike >= similarity)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], arrow[0]), pa.array(keys[of].tolist(), arrow[1]), pa.array(alike[at, of])], ["query_id", key, "similarity"])
+
+        return run
+
+    return _by_blocks(records, queries, kernel, f"query_id {query_type}, `{key}` {key_type}, similarity double", key, block_bytes)
+
+
 # re-ranking
 
 
@@ -233,7 +287,7 @@ def search(records: DataFrame, s: Search, key: str = "id") -> DataFrame:
         if s.gate:
             allowed = allowed & capability_gate(F.col(s.gate), s.capabilities)
         words = lexical.bm25(records, s.lexical, fetch, allowed, key).withColumnRenamed("score", "lexical_score")
-        items = _fused(records, items, words, s, key)
+        items = _fused(records, materialise(items, "dense"), materialise(words, "lexical"), s, key)
     else:
         items = items.withColumn("dense_rank", F.lit(None).cast("int")).withColumn("lexical_rank", F.lit(None).cast("int"))
     if s.diversity:

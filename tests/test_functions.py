@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.errors import EngineError
 from engram.functions import filters, lexical, vector
-from engram.functions.embedding import create_embedder, embed_text, fnv1a, ngram_embed, ngram_space
+from engram.functions.embedding import create_embedder, embed_text, embed_texts, fnv1a, ngram_embed, ngram_space
 
 
 def value(spark, column):
@@ -65,3 +66,15 @@ def test_ngram_embedding(spark):
         ngram_space(64).check(ngram_space(32))
     with pytest.raises(EngineError, match="EMBEDDER_UNAVAILABLE"):
         create_embedder("onnx:some-model")
+
+
+def test_ngram_embedding_by_hand():
+    texts = ["", "a", "Some  words, some_words \U0001f600!", "\ud83d x", "tab\there"]
+    for text, got in zip(texts, embed_texts(texts, 32), strict=True):
+        t = " ".join(text.lower().split())
+        padded = f" {t} ".encode("utf-16-le", "surrogatepass")
+        units = [padded[i : i + 6].decode("utf-16-le", "surrogatepass") for i in range(0, len(padded) - 5, 2)]
+        v = np.zeros(32)
+        for f in ["w:" + w for w in re.split(r"[\W_]+", t) if w] + ["g:" + u for u in units]:
+            v[fnv1a(f) % 32] += -1 if fnv1a(f) >> 31 else 1
+        assert np.allclose(got, v / (np.sqrt((v * v).sum()) or 1))

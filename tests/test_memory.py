@@ -133,3 +133,22 @@ def test_collection(spark, tmp_path):
         Collection.open(spark, str(tmp_path / "c"), read_only=True).delete(spark.createDataFrame([("a",)], "id string"))
     with pytest.raises(EngineError, match="NOT_FOUND"):
         Collection.open(spark, str(tmp_path / "none"))
+
+
+def test_checksum_tells_fields_apart(spark):
+    value = lambda *rows: lifecycle.checksum(spark.createDataFrame(rows, "a string, b string")).first()["checksum"]
+    assert len({value(("x|y", "z")), value(("x", "y|z")), value((None, "z")), value(("", "z")), value(("1:x", "z"))}) == 5
+    assert value(("p", "q"), ("r", None)) == value(("r", None), ("p", "q"))
+
+
+def test_lowest_of_many(spark):
+    rows = spark.createDataFrame([(i, (i * 7) % 5) for i in range(500)], "id int, score int")
+    by_hand = sorted((s, i) for i, s in ((i, (i * 7) % 5) for i in range(500)))
+    for n in (0, 1, 100, 333, 499, 500, 600):
+        assert sorted((r["score"], r["id"]) for r in lifecycle.lowest(rows, n, "score", "id").collect()) == by_hand[:n]
+    assert lifecycle.lowest(rows.limit(0), 3, "score", "id").count() == 0
+
+
+def test_witness_takes_nulls(spark):
+    entries = spark.createDataFrame([("l", 1, "op", None, None, "t", None), ("l", 2, None, "r", "p", None, "a")], "log string, ord long, operation string, record_id string, payload string, timestamp string, actor string")
+    assert lifecycle.verify(lifecycle.append(entries)).first()["ok"] is True

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from engram.errors import EngineError
-from engram.operators.search import Search, batch_knn, mmr, report, search
+from engram.operators.search import Search, batch_above, batch_knn, mmr, report, search
 
 
 @pytest.fixture(scope="module")
@@ -76,6 +76,18 @@ def test_batch_against_brute_force(records, metric):
         assert [i for _, i in sorted(found)] == sorted(range(400), key=lambda i, q=q: (round(d(x[q])[i], 12), i))[:4]
 
 
+def test_queries_in_blocks(records):
+    x, df = records
+    asked = df.where("id % 10 = 0").selectExpr("id AS query_id", "vector")
+    whole, dealt = (sorted(map(tuple, batch_knn(df, asked, 3, block_bytes=b).select("query_id", "rank", "id").collect())) for b in (1 << 20, 500))
+    assert whole == dealt and len(whole) == 120
+    x = x.astype("float32").astype(float)
+    above = {(q, int(i)) for q in range(0, 400, 10) for i in np.flatnonzero(x @ x[q] >= 0.7)}
+    for b in (1 << 20, 500):
+        assert {(r["query_id"], r["id"]) for r in batch_above(df, asked, 0.7, block_bytes=b).collect()} == above
+    assert batch_knn(df, asked.limit(0), 3).count() == 0 and batch_above(df.limit(0), asked, 0.7).count() == 0
+
+
 def test_arguments():
     for bad, code in ((dict(k=0), "INVALID"), (dict(metric="x"), "INVALID"), (dict(diversity=2.0), "INVALID"), (dict(lexical="x" * 40_000), "LIMIT")):
         with pytest.raises(EngineError, match=code):
