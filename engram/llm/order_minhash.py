@@ -28,6 +28,7 @@ KEPT = 16  # k-mers wanted from each point of the circle before the nearest are
 ROWS_PER_RANGE = 1000
 MOST_RANGES = 10_000
 SLICE_CHARS = 1 << 20
+NO_ID = -(1 << 63)
 _U = np.uint64
 _MASK24 = _U((1 << 24) - 1)
 
@@ -75,10 +76,13 @@ def fingerprints(strings: list[str]) -> np.ndarray:
     spot = mix((hashes[place] >> _U(24)) * _U(0x9FB21C651E98DF25) + occurrence.astype(_U) * _U(0xD6E8FEB86659FD93))
     owner = texts[place]
 
-    # of a long text, only the k-mers close behind a point of the circle can be picked
-    within = (spot << _U(6)) >> _U(32)
-    near = np.minimum(KEPT * SIGNATURES / np.maximum(n_kmers, 1), 1.0) * float(1 << 32)
+    # of a long text, the k-mers close behind a point of the circle are picked if there are enough behind every point
+    segment, within = (spot >> _U(58)).astype(np.int64), (spot << _U(6)) >> _U(42)
+    near = np.minimum(KEPT * SIGNATURES / np.maximum(n_kmers, 1), 1.0) * float(1 << 22)
     keep = within < near[owner]
+    enough = (np.bincount(owner[keep] * SIGNATURES + segment[keep], minlength=total * SIGNATURES).reshape(total, SIGNATURES) >= PICKED).all(axis=1)
+    keep |= ~enough[owner]
+    del segment, within
     spot, place, owner = spot[keep], place[keep], owner[keep]
     order = np.lexsort((place, spot, owner)) if total > 1 << 12 or len(texts) >= 1 << 24 else None
     if order is None:
@@ -112,11 +116,11 @@ def edited(text: str, following: str) -> str:
 
 def _ranged(bounds: list[int]):
     """Deal rows to ranges of descending doc_id; the largest row of a range is also shown to the range before it."""
-    edges = np.array(bounds, dtype=np.int64)  # descending; range k holds ids in (edges[k + 1], edges[k]]
+    edges = np.array(bounds, dtype=np.int64)  # descending; range k holds ids in (edges[k + 1], edges[k]]; null is below all
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             k = len(edges) - np.searchsorted(edges[::-1], ids, side="left") - 1
             k = np.maximum(k, 0)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(np.zeros(len(k), bool)), *batch.columns], ["range", "shown", *batch.schema.names])
@@ -175,17 +179,16 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text: the last third of its code points replaced by the first of the next.
 
     The next document is the one with the next smaller doc_id (the smallest is followed by the largest). Columns doc_id and
-    text are read, others ignored; a null text is empty. Rows with a null doc_id are left out, as they have no place in
-    the order. Rows that repeat a doc_id follow each other by text. A single row follows itself; an empty table gives
-    an empty result.
+    text are read, others ignored; a null text is empty. Rows with a null doc_id come behind all others. Rows that repeat
+    a doc_id, or have none, follow each other by text. A single row follows itself; an empty table gives an empty result.
     """
-    rows = limit_arrow(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = limit_arrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = rows.count()
     ranges = max(1, min(MOST_RANGES, n // ROWS_PER_RANGE))
     shares = [(ranges - k) / ranges for k in range(ranges)]
     # percentiles are ids of the table, so the largest id of each range is known without a further pass
     found = rows.agg(F.percentile_approx("doc_id", shares, 20 * max(ranges, 50)).alias("p"), F.max("doc_id").alias("top")).first()
-    bounds = sorted({*(found["p"] or []), found["top"]}, reverse=True) if found["top"] is not None else [0]
+    bounds = sorted({*(found["p"] or []), found["top"]}, reverse=True) if found["top"] is not None else [NO_ID]
     dealt = rows.mapInArrow(_ranged(bounds), "range long, shown boolean, doc_id long, text string")
     ordered = dealt.repartition("range").sortWithinPartitions("range", "shown", F.col("doc_id").desc(), "text")
     return ordered.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -205,21 +205,34 @@ def test_fingerprints():
     assert near > 0.95 and far < near  # the same k-mers in another order are less alike
 
 
+@pytest.mark.parametrize("kept", [1, 4, 8])
+def test_fingerprints_of_long_texts(monkeypatch, kept):
+    """Whether the k-mers near the points suffice or all of a text must be looked at, the picked ones are the same."""
+    rnd = random.Random(kept)
+    texts = ["".join(rnd.choice("abc ") for _ in range(rnd.randint(600, 4000))) for _ in range(30)]
+    monkeypatch.setattr(order_minhash, "KEPT", kept)
+    assert [x.tolist() for x in order_minhash.fingerprints(texts)] == [plain_fingerprint(t) for t in texts]
+
+
 def test_edited(spark):
-    rows = [(i, f"text number {i} " * (i % 7)) for i in range(2500)] + [(5000, None), (None, "left out")]
+    rows = [(i, f"text number {i} " * (i % 7)) for i in range(2500)] + [(5000, None), (None, "has no place"), (None, None)]
     out = {r["doc_id"]: r for r in order_minhash.compare_edited(frame(spark, rows)).collect()}
     order = sorted((i for i, _ in rows if i is not None), reverse=True)
-    texts = {i: t or "" for i, t in rows}
-    assert len(out) == len(order) == 2501
-    for a, b in zip(order, order[1:] + order[:1], strict=True):
+    texts = {i: t or "" for i, t in rows if i is not None} | {None: ""}
+    assert order_minhash.compare_edited(frame(spark, rows)).count() == 2503
+    nulls = order_minhash.compare_edited(frame(spark, rows)).where("doc_id IS NULL").collect()
+    assert sorted((r["n_chars"], r["edited_sha256"]) for r in nulls) == sorted((len(t), hashlib.sha256(order_minhash.edited(t, f).encode()).hexdigest()) for t, f in (("", "has no place"), ("has no place", "")))
+    for a, b in zip(order, [*order[1:], None], strict=True):  # the nulls, the empty one first, come behind the smallest
         edited = order_minhash.edited(texts[a], texts[b])
         assert out[a]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and out[a]["n_chars"] == len(texts[a])
         if a % 97 == 0:
             p = order_minhash.fingerprints([texts[a], edited, texts[b]])
             assert out[a]["near_edited"] == (p[0] == p[1]).mean() and out[a]["near_next"] == (p[0] == p[2]).mean()
             assert out[a]["fingerprint"] == p[0].astype(">u2").tobytes().hex()
-    one = order_minhash.compare_edited(frame(spark, [(7, "abc" * 9)])).collect()
-    assert len(one) == 1 and one[0]["near_next"] == 1
+    for alone in ([(7, "abc" * 9)], [(None, "abc" * 9)]):
+        one = order_minhash.compare_edited(frame(spark, alone)).collect()
+        assert len(one) == 1 and one[0]["near_next"] == 1
+    assert order_minhash.compare_edited(frame(spark, [(None, "a"), (None, "b"), (None, "b")])).count() == 3
     assert order_minhash.compare_edited(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
