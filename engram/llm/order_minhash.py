@@ -77,12 +77,15 @@ def fingerprints(strings: list[str]) -> np.ndarray:
     owner = texts[place]
 
     # of a long text, the k-mers close behind a point of the circle are picked if there are enough behind every point
-    segment, within = (spot >> _U(58)).astype(np.int64), (spot << _U(6)) >> _U(42)
+    within = (spot << _U(6)) >> _U(42)
     near = np.minimum(KEPT * SIGNATURES / np.maximum(n_kmers, 1), 1.0) * float(1 << 22)
     keep = within < near[owner]
-    enough = (np.bincount(owner[keep] * SIGNATURES + segment[keep], minlength=total * SIGNATURES).reshape(total, SIGNATURES) >= PICKED).all(axis=1)
-    keep |= ~enough[owner]
-    del segment, within
+    del within
+    if (cut := n_kmers > KEPT * SIGNATURES).any():
+        behind = np.bincount(owner[keep] * SIGNATURES + (spot[keep] >> _U(58)).astype(np.int64), minlength=total * SIGNATURES)
+        lacking = cut & (behind.reshape(total, SIGNATURES) < PICKED).any(axis=1)
+        if lacking.any():
+            keep |= lacking[owner]
     spot, place, owner = spot[keep], place[keep], owner[keep]
     order = np.lexsort((place, spot, owner)) if total > 1 << 12 or len(texts) >= 1 << 24 else None
     if order is None:
