@@ -416,6 +416,26 @@ def test_ngram_join_of_like_chunks(spark):
     assert got(ngram_join.join(docs), "doc_id", "n_shingles", "component_id") == linked_by_hand(rows)
 
 
+def test_ngram_join_sends_bounded_bytes(spark, monkeypatch):
+    """What is sent of an n-gram doesn't grow with the fragments, whose number follows the n-grams that a pass sends."""
+    rnd = random.Random(6)
+    rows = [(i, " ".join(f"w{rnd.randrange(5000)}" for _ in range(60))) for i in range(400)]
+    rows += [(i + 400, t + " more") for i, t in rows[:8]]
+    texts = frame(spark, rows).select("text")
+    for bits in (4, 8, 12):
+        sent = textops.limit_arrow(texts).mapInArrow(ngram_join._send_shared(bits), ngram_join._SHARED)
+        size = sum(len(x) for r in sent.collect() for x in r if isinstance(x, bytes | bytearray))
+        assert size < 8 * 56 * len(rows)
+    seen, send = [], ngram_join._send_sets
+    monkeypatch.setattr(ngram_join, "_send_sets", lambda bits: seen.append(bits) or send(bits))
+    out = got(ngram_join.join(frame(spark, rows), per_fragment=50), "doc_id", "n_shingles", "component_id")
+    assert out == linked_by_hand(rows) and seen == [5, 5, 4]  # 16 texts' n-grams, and none of open ones
+    for n, most in ((0, 1), (1, 1), (3, 1 << 16), (5000, 300), (5000, 1 << 16)):
+        owner = np.sort(np.random.default_rng(n).integers(0, most, n))
+        raw = ngram_join._pack(owner)
+        assert (ngram_join._unpack(raw) == owner).all() and len(raw) <= 2 * n + 1
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
