@@ -50,12 +50,12 @@ class Order:
     def __init__(self, counts: np.ndarray):
         self.total = int(counts.sum())
         self.single = _U(int((counts <= 1).sum()))  # words of the buckets before occur once
-        rank = np.empty(len(counts), dtype=_U)
-        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=_U)
-        self.rank = rank << _U(REST_BITS)
+        self.rank = np.empty(len(counts), dtype=np.uint32)
+        self.rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint32)
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
-        return self.rank[(hashes >> _U(64 - RANK_BITS)).astype(np.int64)] | (hashes & _U((1 << REST_BITS) - 1))
+        rank = self.rank[(hashes >> _U(64 - RANK_BITS)).view(np.int64)].astype(_U)
+        return (rank << _U(REST_BITS)) | (hashes & _U((1 << REST_BITS) - 1))
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,14 +93,21 @@ def order_of(texts: DataFrame) -> Order:
     return Order(counts.ravel())
 
 
-def line_sets(data: np.ndarray, offs: np.ndarray, order: Order) -> tuple[np.ndarray, ...]:
-    """(row, line number, size, start) of each line that has words, and their words, line by line in global order."""
+def line_sets(data: np.ndarray, offs: np.ndarray, order: Order, bitmap: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(row, line number, size, start) of each line that has words, and their words, line by line in global order.
+
+    ``bitmap``: only of lines that hold a marked word."""
     h, rows, starts, _ = textops.words(data, offs)
+    breaks = np.flatnonzero(data == 10)
+    line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.searchsorted(starts, breaks), prepend=0, append=len(h))) + rows  # rows begin a line as well
+    if bitmap is not None and len(h):
+        some = np.zeros(line[-1] + 1, dtype=bool)
+        some[line[_marked(bitmap, h)]] = True  # a word's place ends in the bits of its hash that mark it
+        keep = np.flatnonzero(some[line])
+        h, rows, line = h[keep], rows[keep], line[keep]
     if not len(h):
         z = np.zeros(0, np.int64)
         return z, z, z, z, z.view(_U)
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    line = breaks[starts] + rows  # rows begin a line as well
     fresh = np.append(True, line[1:] != line[:-1])
     local, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
     place = order.place(h)
@@ -112,7 +119,7 @@ def line_sets(data: np.ndarray, offs: np.ndarray, order: Order) -> tuple[np.ndar
         words, owner = textops.row_sets(place, local)
     size = np.bincount(owner, minlength=len(first))
     row = rows[first]
-    return row, breaks[starts[first]] - breaks[offs[row]], size, np.cumsum(size) - size, words
+    return row, line[first] - row - np.searchsorted(breaks, offs)[row], size, np.cumsum(size) - size, words
 
 
 def identity(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -163,7 +170,8 @@ def _lines(shared, threshold: int, fragments: int, parts: int, marks=None):
         def out() -> Iterator[pa.RecordBatch]:
             same, doc_id, row, line, size, words = (np.concatenate([h[k] for h in held]) for k in range(6))
             start = np.cumsum(size) - size
-            by = np.lexsort((line, row, doc_id, same))
+            by = _first_to_last(doc_id, row)
+            by = by[np.argsort(same[by], kind="stable")]
             head = np.append(True, same[by][1:] != same[by][:-1])
             first = np.sort(by[head])
             if marks is None:
@@ -195,21 +203,22 @@ def _lines(shared, threshold: int, fragments: int, parts: int, marks=None):
                 columns.append(_marked(marks.value[0], same).astype(np.uint8))
             fragment = ((mix(word) >> _U(32)) % _U(fragments)).astype(np.int64)
             by = np.argsort(fragment, kind="stable")  # within a fragment by owner
-            cut = np.searchsorted(fragment[by], np.arange(fragments + 1))
-            made: dict[str, list] = {c: [] for c in [*list(_ENTITY)[: len(columns)], "count", "word", "at"]}
-            filled = np.flatnonzero(np.diff(cut))
-            for f in filled:
-                some = by[cut[f] : cut[f + 1]]
-                present, count = np.unique(owner[some], return_counts=True)
-                for c, x in zip(made, [*(x[present] for x in columns), count.astype(np.int32), word[some], at[some].astype(np.int32)], strict=True):
-                    made[c].append(packed.blob(x))
-            if len(filled):
-                yield _batch(_DEALT, -1 - filled, made)
+            fragment, owner = fragment[by], owner[by]
+            begin = np.flatnonzero(np.append(True, (fragment[1:] != fragment[:-1]) | (owner[1:] != owner[:-1])))
+            count, present = np.diff(np.append(begin, len(by))).astype(np.int32), owner[begin]
+            filled = np.unique(fragment)
+            cuts = [np.searchsorted(x, np.append(filled, fragments)).tolist() for x in (fragment[begin], fragment)]
+            made = {}
+            for c, x in [*zip(_ENTITY, columns, strict=False), ("count", count), ("word", word[by]), ("at", at[by].astype(np.int32))]:
+                cut = cuts[c in ("word", "at")]
+                x = x[present] if c in _ENTITY else x
+                made[c] = [packed.blob(x[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+            yield _batch(_DEALT, -1 - filled, made)
 
         for batch in batches:
             rows, ids = batch.column(0).to_numpy(), batch.column(1).fill_null(int(_LEAST)).to_numpy()
             for i, data, offs in _parts(batch.column(2)):
-                row, line, size, start, words = line_sets(data, offs, order)
+                row, line, size, start, words = line_sets(data, offs, order, None if marks is None else marks.value[1])
                 if len(row):
                     held.append((identity(words, start, size), ids[row + i], rows[row + i], line, size, words))
                     total += len(words)
@@ -224,10 +233,17 @@ def _lines(shared, threshold: int, fragments: int, parts: int, marks=None):
 
 
 def _marked(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    spot = (values % _U(MARKS)).astype(np.int64)
+    spot = (values & _U(MARKS - 1)).view(np.int64)
     return (bitmap[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 > 0
 
 
+def _first_to_last(doc_id: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The order by doc_id, then row, of lines whose rows have theirs in order."""
+    by = np.argsort(doc_id, kind="stable")
+    d, r = doc_id[by], row[by]
+    return np.lexsort((row, doc_id)) if ((d[1:] == d[:-1]) & (r[1:] != r[:-1])).any() else by
+
+
 def _part_of(rows: np.ndarray, parts: int) -> np.ndarray:
     return (mix(rows.view(_U)) % _U(parts)).astype(np.int32)
 
@@ -254,19 +270,26 @@ def _met(rows: list[dict], threshold: int, most_steps: int, candidates: int, par
     word, at = packed.joined(rows, "word", _U), packed.joined(rows, "at", np.int32)
     rows.clear()
     # a set that several chunks hold is at its first place
-    by = np.lexsort((x["line"], x["row"], x["doc_id"], x["same"]))
-    head = np.append(True, x["same"][by][1:] != x["same"][by][:-1])
-    heads = by[head]
-    first = heads[np.lexsort((x["line"][heads], x["row"][heads], x["doc_id"][heads]))]
+    early = _first_to_last(x["doc_id"], x["row"])  # one chunk has all lines of a row
+    same = x["same"][early]
+    by = np.argsort(same, kind="stable")
+    head = np.append(True, same[by][1:] != same[by][:-1])
+    heads = np.sort(by[head])
+    first = early[heads]
     x = {c: v[first] for c, v in x.items()}
     own, place = np.empty(len(by), dtype=np.int64), np.empty(len(by), dtype=np.int64)
-    place[first] = np.arange(len(first))
-    own[by] = place[heads][np.cumsum(head) - 1]
+    place[heads] = np.arange(len(first))
+    own[early[by]] = place[by[head]][np.cumsum(head) - 1]
     entity = own[entity]
+    del early, same
     # each word's list by size; places in ``x`` are in order of the first places
     number = np.unique(word, return_inverse=True)[1].astype(np.int32)
     del word
-    by = np.lexsort((entity, x["size"][entity], number))
+    bits = [int(v.max(initial=0)).bit_length() for v in (entity, x["size"])]
+    if sum(bits) + int(number.max(initial=0)).bit_length() < 64:  # one number holds all three
+        by = np.argsort((((number.astype(np.int64) << bits[1]) | x["size"][entity]) << bits[0]) | entity)
+    else:
+        by = np.lexsort((entity, x["size"][entity], number))
     group, entity = number[by], entity[by]
     fresh = np.append(len(by) > 0, (group[1:] != group[:-1]) | (entity[1:] != entity[:-1]))
     group, entity, by = group[fresh], entity[fresh], by[fresh]
@@ -355,7 +378,8 @@ def _meet(threshold: int, most_steps: int, candidates: int, parts: int, only_ope
             row, line = packed.joined(rows, "row", np.int64), packed.joined(rows, "line", np.int32)
             if part < parts:
                 same, doc_id = packed.joined(rows, "same", _U), packed.joined(rows, "doc_id", np.int64)
-                by = np.lexsort((line, row, doc_id, same))
+                by = _first_to_last(doc_id, row)
+                by = by[np.argsort(same[by], kind="stable")]
                 by = by[np.append(False, same[by][1:] == same[by][:-1])]
                 row, line = row[by], line[by]
             if len(row):
@@ -435,7 +459,7 @@ def _words_of(shared):
 def _sets_of(texts: DataFrame, shared, lines: DataFrame, n: int) -> DataFrame:
     """row, line and words of the lines (row, line); ``texts`` are in ``n`` buckets by row."""
     by_row = lines.repartition(n, "row").groupBy("row").agg(F.collect_list("line").alias("lines"))
-    return texts.join(by_row, "row").select("row", "text", "lines").mapInArrow(_words_of(shared), "row long, line int, words array<long>")
+    return texts.join(by_row.hint("shuffle_hash"), "row").select("row", "text", "lines").mapInArrow(_words_of(shared), "row long, line int, words array<long>")
 
 
 def _verified(texts: DataFrame, shared, pairs: DataFrame, threshold: int, n: int) -> DataFrame:
@@ -511,13 +535,17 @@ def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         stays = np.ones(len(start), dtype=bool)
         stays[first[owner] + lists.flatten().to_numpy(zero_copy_only=False)] = False
-        keep = np.repeat(stays, end - start)
         # where the last line goes, so does the break behind the last one that stays
         last = np.maximum.accumulate(np.where(stays, np.arange(len(stays)), -1))[first + n - 1] if len(stays) else first
         cut = last[(last >= first) & (last < first + n - 1)]
-        keep[end[cut] - 1] = False
-        ends = np.concatenate([[0], np.cumsum(keep)])[offs]
-        texts = pa.LargeStringArray.from_buffers(batch.num_rows, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[keep])).cast(pa.string())
+        left, size = start[stays], (end - start)[stays]
+        size[(np.cumsum(stays) - 1)[cut]] -= 1
+        ends = np.append(0, np.cumsum(size))
+        breaks = np.append(len(left) > 0, left[1:] != left[:-1] + size[:-1])  # what stays in one piece is copied at once
+        piece = np.flatnonzero(breaks)
+        pieces = [data[i:j] for i, j in zip(left[piece].tolist(), (left + size)[np.append(piece[1:], len(left))[: len(piece)] - 1].tolist(), strict=True)]
+        ends = ends[np.append(0, np.cumsum(stays))[np.append(first, len(stays))]]
+        texts = pa.LargeStringArray.from_buffers(batch.num_rows, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.concatenate([data[:0], *pieces]))).cast(pa.string())
         null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
         if null.any():
             texts = pa.array([None if z else t for z, t in zip(null, texts.to_pylist(), strict=True)], pa.string())

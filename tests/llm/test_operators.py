@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from engram.llm import chat, components, decontaminate, line_dedup, mixing, neural_lm, ngram_join, order_minhash, suffix_dedup, suffix_sort, textops, tokens, toxicity
+from engram.llm import chat, components, decontaminate, line_dedup, mixing, neural_lm, ngram_join, order_minhash, packed, suffix_dedup, suffix_sort, textops, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string"
@@ -163,6 +163,68 @@ def test_lines_of_long_texts_and_many_like_lines(spark):
         assert got(out, "doc_id", "n_lines", "n_removed", "kept") == lines_by_hand(rows, 80)
 
 
+class Held:
+    """What stands for a broadcast value."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_second_pass_sorts_few_lines():
+    class Counting(line_dedup.Order):
+        placed = 0
+
+        def place(self, hashes):
+            Counting.placed += len(hashes)
+            return super().place(hashes)
+
+    texts = [f"Line {k} of some\n\n common words {k % 7}\nRare{k} word" for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(range(200)), pa.array(texts)], ["row", "doc_id", "text"])
+    order = Counting(np.full(1 << line_dedup.RANK_BITS, 2))
+    data, offs = textops.text_buffers(batch.column(2))
+    row, line, size, start, words = line_dedup.line_sets(data, offs, order)
+    picked = np.flatnonzero((line == 3) & (row % 50 == 0))  # Rare0, Rare50, Rare100, Rare150
+    rare = textops.words(*textops.text_buffers(pa.array([f"rare{k}" for k in row[picked]])))[0]
+    marks = np.zeros((2, line_dedup.MARKS // 8), dtype=np.uint8)
+    for kind, values in enumerate((line_dedup.identity(words, start, size)[picked], order.place(rare))):
+        at = (values % np.uint64(line_dedup.MARKS)).astype(np.int64)
+        np.bitwise_or.at(marks[kind], at >> 3, (1 << (at & 7)).astype(np.uint8))
+    Counting.placed = 0
+    made = list(line_dedup._lines(Held(order), 50, 1, 4, Held(marks))(iter([batch])))
+    posted = [(r, k) for b in made for x in b.to_pylist() for r, k in zip(packed.numbers(x["row"], np.int64), packed.numbers(x["line"], np.int32), strict=True)]
+    assert {(0, 3), (50, 3), (100, 3), (150, 3)} >= set(posted) and posted
+    assert Counting.placed <= 16  # of 1800 words
+
+
+def test_texts_are_not_sorted_to_find_lines(spark):
+    texts = spark.createDataFrame([(k, f"a b\nc {k}") for k in range(9)], "row long, text string")
+    lines = spark.createDataFrame([(3, 1), (5, 0), (5, 1)], "row long, line int")
+    shared = spark.sparkContext.broadcast(line_dedup.Order(np.full(1 << line_dedup.RANK_BITS, 2)))
+    found = line_dedup._sets_of(texts, shared, lines, 4)
+    assert "ShuffledHashJoin" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
+    assert sorted((r["row"], r["line"], len(r["words"])) for r in found.collect()) == [(3, 1, 2), (5, 0, 2), (5, 1, 2)]
+
+
+def test_kept_text_of_lines():
+    texts = ["a\nb\nc", None, "", "x", "\n\ny\n", "é\nü\n", "p\nq"]
+    lines = [[1], None, None, [0], [2, 3], [1, 2], None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(lines, pa.list_(pa.int32()))], ["text", "lines"])
+    (out,) = line_dedup._removal(iter([batch]))
+    out.validate(full=True)
+    left = [None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in (gone or ())) for t, gone in zip(texts, lines, strict=True)]
+    assert out.column("kept").to_pylist() == left
+
+
+def test_words_of_consecutive_texts():
+    texts = ["", "Ab", "cD e", "", "\x1cé\x08 [@Z`{\t", " ", "x\x0b\x0cy\r"]
+    data, offs = textops.text_buffers(pa.array(texts))
+    hashes, rows, starts, ends = textops.words(data, offs)
+    found = [(r, bytes(data[i:j])) for r, i, j in zip(rows.tolist(), starts, ends, strict=True)]
+    assert found == [(k, w.encode()) for k, t in enumerate(texts) for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
+    alone = [textops.words(*textops.text_buffers(pa.array([lower(w.decode())])))[0][0] for _, w in found]
+    assert hashes.tolist() == alone
+
+
 # 3
 
 
