@@ -12,7 +12,7 @@ interpreter, unknown variables are refused before anything runs, and division by
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any, NamedTuple
 
@@ -345,10 +345,14 @@ _NULL = Typed(F.lit, T.NullType())
 
 
 class Compiler:
-    """Expressions over bound variables, which are struct columns named after them."""
+    """Expressions over bound variables, which are struct columns named after them.
 
-    def __init__(self, variables: dict[str, T.StructType]):
+    ``weight`` is a column that tells for how many equal rows a row stands; aggregates count it so often.
+    """
+
+    def __init__(self, variables: dict[str, T.StructType], weight: Column | None = None):
         self.variables = variables
+        self.weight = weight
 
     def truth(self, e: Node) -> Column:
         t = self.compile(e)
@@ -481,8 +485,19 @@ class Compiler:
             return Typed(F.floor(x + F.lit(0.5)).cast("double"), T.DoubleType()) if kind == "num" else none(T.DoubleType())
         raise unsupported(f"unknown function {name}")
 
+    def _weighted(self, name: str, x: Column, dtype: T.DataType) -> Column:
+        """The sum, mean or count of ``x`` over rows that stand for several."""
+        held = F.when(x.isNotNull(), self.weight)
+        if name == "count":
+            return F.coalesce(F.sum(held), F.lit(0).cast("long"))
+        wide = x.cast("long" if name == "sum" and isinstance(dtype, T.IntegralType) else "double")
+        total = F.sum(wide * self.weight)
+        return total if name == "sum" else total / F.sum(held)
+
     def aggregate(self, name: str, args: list[Node]) -> Typed:
         if name == "count":
+            if self.weight is not None:
+                return Typed(self._weighted("count", F.lit(1) if args and args[0].op == "star" else self.compile(args[0]).column, T.LongType()), T.LongType())
             if args and args[0].op == "star":
                 return Typed(F.count(F.lit(1)), T.LongType())
             return Typed(F.count(self.compile(args[0]).column), T.LongType())
@@ -491,9 +506,10 @@ class Compiler:
             return Typed(F.array_sort(F.collect_list(a.column)), T.ArrayType(a.dtype))
         if name == "sum":
             dtype = T.LongType() if isinstance(a.dtype, T.IntegralType) else T.DoubleType()
-            return Typed(F.coalesce(F.sum(a.column), F.lit(0).cast(dtype)), dtype)
+            total = F.sum(a.column) if self.weight is None else self._weighted("sum", a.column, a.dtype)
+            return Typed(F.coalesce(total, F.lit(0).cast(dtype)), dtype)
         if name == "avg":
-            return Typed(F.avg(a.column), T.DoubleType())
+            return Typed(F.avg(a.column) if self.weight is None else self._weighted("avg", a.column, a.dtype), T.DoubleType())
         return Typed(F.min(a.column) if name == "min" else F.max(a.column), a.dtype)
 
 
@@ -508,6 +524,39 @@ def _check_aggregates(e: Node) -> None:
             _check_aggregates(a)
 
 
+def _variables(e: Node) -> set[str]:
+    own = {e.args[0]} if e.op == "var" else set()
+    return own.union(*(_variables(a) for a in e.args if isinstance(a, Node)))
+
+
+def _collects(e: Node) -> bool:
+    return (e.op == "call" and e.args[0] == "collect") or any(_collects(a) for a in e.args if isinstance(a, Node))
+
+
+def _groupable(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return all(_groupable(f.dataType) for f in t.fields)
+    return _groupable(t.elementType) if isinstance(t, T.ArrayType) else not isinstance(t, (T.MapType, T.VariantType))
+
+
+_TURNED = {"out": "in", "in": "out", "both": "both"}
+_WEIGHT = "_anonymous weight"
+
+
+def _from_bound(patterns) -> list:
+    """The same patterns, cut and turned so that each begins at a node that earlier ones bind, if it holds one."""
+    out, known = [], set()
+    for nodes, edges in patterns:
+        at = next((i for i, n in enumerate(nodes) if n.var and n.var in known), 0)
+        if at:
+            turned = [replace(e, direction=_TURNED[e.direction]) for e in reversed(edges[:at])]
+            out.append((nodes[at::-1], turned))
+        if not at or edges[at:]:
+            out.append((nodes[at:], edges[at:]))
+        known |= {n.var for n in nodes if n.var}
+    return out
+
+
 class Plan:
     def __init__(self, graph: Graph):
         self.graph = graph
@@ -554,16 +603,38 @@ class Plan:
             return out.unionByName(into.where("_from <> _to"))
         return out if p.direction == "out" else into
 
-    def match(self, patterns) -> tuple[DataFrame, dict[str, T.StructType], set[str]]:
+    def _fold(self, rows: DataFrame, bound: dict, alive: set[str]) -> DataFrame:
+        """Rows that agree in the variables still asked for as one row with a weight, before a join multiplies them.
+
+        An edge that is still asked for tells its rows apart, so nothing is gained behind one.
+        """
+        held = [v for v in bound if v in alive and v in rows.columns]
+        gone = [v for v in bound if v not in alive and v in rows.columns]
+        if not gone or any(bound[v] == self.edge_type or not _groupable(bound[v]) for v in held):
+            return rows
+        weight = (F.sum(_WEIGHT) if _WEIGHT in rows.columns else F.count(F.lit(1))).alias(_WEIGHT)
+        return rows.groupBy(*(F.col(f"`{v}`") for v in held)).agg(weight) if held else rows.agg(weight).where(F.col(_WEIGHT) > 0)
+
+    def match(self, patterns, asked: set[str] | None = None) -> tuple[DataFrame, dict[str, T.StructType], set[str]]:
+        """Rows of all bound variables, their types, and the names given. With the set of the variables that are ``asked`` for
+        afterwards, rows may come without the others, each with the number of rows that it stands for (``_WEIGHT``)."""
         rows: DataFrame | None = None
         bound: dict[str, T.StructType] = {}
         named: list[str] = []
-        for nodes, edges in patterns:
+        if asked is not None:
+            patterns = _from_bound(patterns)
+        for k, (nodes, edges) in enumerate(patterns):
+            later = {x.var for ns, es in patterns[k + 1 :] for x in (*ns, *es) if x.var}
+            compared = {e.var for _, es in patterns for e in es if e.var}  # named edges differ from each other
             part = nodes[0]
             var = self.name(part.var)
+            if asked is not None and rows is not None and var not in bound:
+                rows = self._fold(rows, bound, asked | later | compared | {x.var for x in (*nodes, *edges) if x.var})
             rows = self._bind(rows, bound, self.node_frame(part, var), var)
             here = var
-            for e, n in zip(edges, nodes[1:], strict=True):
+            for i, (e, n) in enumerate(zip(edges, nodes[1:], strict=True)):
+                if asked is not None:
+                    rows = self._fold(rows, bound, asked | later | compared | {here} | {x.var for x in (*nodes[i + 1 :], *edges[i:]) if x.var})
                 if e.var in bound:  # the same edge can't be bound twice
                     rows = rows.where(F.lit(False))
                 edge_var, node_var = self.name(e.var if e.var not in bound else None), self.name(n.var)
@@ -592,13 +663,17 @@ class Plan:
         return rows.crossJoin(frame)  # comma patterns without a shared variable are a product by definition
 
     def run(self, q: Query, max_rows: int = MAX_ROWS) -> DataFrame:
-        rows, bound, shown = self.match(q.patterns)
-        compiler = Compiler({v: bound[v] for v in shown})
+        told = [e for e, _ in q.items or ()]
+        aggregated = any(has_aggregate(e) for e in told)
+        asked = None
+        if aggregated and not any(_collects(e) for e in told):
+            asked = set().union(*(_variables(e) for e in (*told, *(e for e, _ in q.order), *([] if q.where is None else [q.where]))))
+        rows, bound, shown = self.match(q.patterns, asked)
+        compiler = Compiler({v: bound[v] for v in shown}, F.col(_WEIGHT) if _WEIGHT in rows.columns else None)
         if q.where is not None:
             rows = rows.where(compiler.truth(q.where))
         items = [(Node("var", (v,)), v) for v in bound if v in shown] if q.items is None else q.items
         aliases = [a for _, a in items]
-        aggregated = any(has_aggregate(e) for e, _ in items)
         keys: list[Column] = []
         if aggregated:
             for e, _ in items:
