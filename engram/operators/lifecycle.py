@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -164,42 +164,56 @@ def entry_hash(previous: str, seq: int, operation: str, record: str, payload_has
     return hashlib.sha256("|".join([previous, str(seq), *(x or "" for x in (operation, record, payload_hash, timestamp, actor))]).encode()).hexdigest()
 
 
+_CHAINED = ("operation", "record_id", "payload_hash", "timestamp", "actor")
 _ENTRY = "log string, seq long, prev_hash string, hash string, operation string, record_id string, timestamp string, actor string, payload_hash string"
 
 
 def append(entries: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Chain new entries (log, ord, operation, record_id, timestamp, actor, payload) behind each log's head (log, seq, hash).
 
-    A chain is sequential, so each log is one task; logs are chained in parallel.
+    A chain is sequential, so each log is read by one task; a task has its logs one behind the other, in order, and holds a batch
+    of their rows at a time.
     """
     visible_to_workers(entries.sparkSession)
     rows = entries.withColumn("payload_hash", F.sha2(F.coalesce("payload", F.lit("")), 256)).drop("payload")
     begun = rows if heads is None else rows.join(heads.select("log", F.col("seq").alias("_s"), F.col("hash").alias("_h")), "log", "left")
     if heads is None:
         begun = begun.withColumn("_s", F.lit(None).cast("long")).withColumn("_h", F.lit(None).cast("string"))
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        first = pdf.iloc[0]
-        previous, seq, out = (GENESIS, 0, []) if pd.isna(first["_s"]) else (first["_h"], int(first["_s"]), [])
-        for r in pdf.drop(columns=["_s", "_h"]).itertuples(index=False):
+    read = [F.col(c) for c in ("log", *_CHAINED, "_s", "_h")]
+    return begun.repartition("log").sortWithinPartitions("log", F.col("ord").asc_nulls_last()).select(*read).mapInArrow(_chain, _ENTRY)
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (log, what is hashed, the head's seq and hash), sorted by log and place, as entries."""
+    log, previous, seq, begun = None, GENESIS, 0, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        logs, *told, heads, hashes = (c.to_pylist() for c in batch.columns)
+        places, before, after = [], [], []
+        for k, name in enumerate(logs):
+            if not begun or name != log:
+                log, begun = name, True
+                previous, seq = (GENESIS, 0) if heads[k] is None else (hashes[k], heads[k])
             seq += 1
-            h = entry_hash(previous, seq, r.operation, r.record_id, r.payload_hash, r.timestamp, r.actor)
-            out.append((r.log, seq, previous, h, r.operation, r.record_id, r.timestamp, r.actor, r.payload_hash))
-            previous = h
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _ENTRY.split(", ")])
-
-    return begun.groupBy("log").applyInPandas(chain, _ENTRY)
+            places.append(seq)
+            before.append(previous)
+            previous = entry_hash(previous, seq, *(x[k] for x in told))
+            after.append(previous)
+        held = {n: batch.column(n) for n in ("log", *_CHAINED)} | {"seq": pa.array(places, pa.int64()), "prev_hash": pa.array(before, pa.string()), "hash": pa.array(after, pa.string())}
+        names = [c.split()[0] for c in _ENTRY.split(", ")]
+        yield pa.RecordBatch.from_arrays([held[n] for n in names], names)
 
 
 def verify(log: DataFrame) -> DataFrame:
-    """(log, entries, ok, first_break): each entry is checked against the one before by a join on the sequence number."""
-    fields = [F.coalesce(F.col(c), F.lit("")) for c in ("operation", "record_id", "payload_hash", "timestamp", "actor")]
+    """(log, entries, ok, first_break): each entry is checked against those of the sequence number before, in one pass in their order."""
+    fields = [F.coalesce(F.col(c), F.lit("")) for c in _CHAINED]
     told = F.concat_ws("|", "prev_hash", F.col("seq").cast("string"), *fields)
-    before = log.select("log", (F.col("seq") + 1).alias("seq"), F.col("hash").alias("_before"))
-    linked = log.join(before, ["log", "seq"], "left")
-    expected = F.when(F.col("seq") == 1, F.lit(GENESIS)).otherwise(F.col("_before"))
-    broken = ~(F.col("hash").eqNullSafe(F.sha2(told, 256))) | ~(F.col("prev_hash").eqNullSafe(expected))
+    own = log.select("log", "seq", "prev_hash", "hash", F.col("hash").eqNullSafe(F.sha2(told, 256)).alias("_own"))  # all that is dealt by log
+    before = W.partitionBy("log").orderBy("seq").rangeBetween(-1, -1)
+    linked = own.withColumn("_low", F.min(F.struct("hash")).over(before)).withColumn("_high", F.max(F.struct("hash")).over(before))
+    fits = [F.col("prev_hash").eqNullSafe(F.when(F.col("seq") == 1, F.lit(GENESIS)).otherwise(F.col(c)["hash"])) for c in ("_low", "_high")]
+    broken = ~(F.col("_own") & fits[0] & fits[1])
     out = linked.groupBy("log").agg(F.count("*").alias("entries"), F.min(F.when(broken, F.col("seq"))).alias("first_break"))
     return out.withColumn("ok", F.col("first_break").isNull())
 

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +154,38 @@ def test_lowest_of_many(spark):
 def test_witness_takes_nulls(spark):
     entries = spark.createDataFrame([("l", 1, "op", None, None, "t", None), ("l", 2, None, "r", "p", None, "a")], "log string, ord long, operation string, record_id string, payload string, timestamp string, actor string")
     assert lifecycle.verify(lifecycle.append(entries)).first()["ok"] is True
+
+
+def test_witness_logs_are_streamed(spark):
+    """Entries come a few at a time, a log's from several batches and several logs' in one, and chain as one by one."""
+    entries = [(f"u{i % 7}" if i % 7 else None, i * 31 % 997, "op", f"r{i}", "t", None, f"p{i % 5}") for i in range(500)]
+    schema = "log string, ord int, operation string, record_id string, timestamp string, actor string, payload string"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        log = lifecycle.append(spark.createDataFrame(entries, schema)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    heads, expected = {}, set()
+    for name, _, operation, record, at, actor, payload in sorted(entries, key=lambda e: e[1]):
+        seq, previous = heads.get(name, (0, lifecycle.GENESIS))
+        heads[name] = seq + 1, lifecycle.entry_hash(previous, seq + 1, operation, record, hashlib.sha256(payload.encode()).hexdigest(), at, actor)
+        expected.add((name, seq + 1, previous, heads[name][1], record))
+    assert {(r["log"], r["seq"], r["prev_hash"], r["hash"], r["record_id"]) for r in log} == expected
+    out = lifecycle.verify(spark.createDataFrame(log, lifecycle._ENTRY))
+    assert {r["log"]: (r["entries"], r["ok"]) for r in out.collect()} == {n: (seq, True) for n, (seq, _) in heads.items()}
+
+
+def test_witness_plan_has_each_entry_once(spark):
+    """Entries are chained once, by no task a log, and verified without a join to themselves."""
+    entries = spark.createDataFrame([("l", 1, "op", "r", "t", "a", "p")], "log string, ord int, operation string, record_id string, timestamp string, actor string, payload string")
+    plan = lifecycle.verify(lifecycle.append(entries))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroups" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_witness_with_a_repeated_number(spark):
+    """An entry behind two of one number fits at most one of them; both count as entries once."""
+    rows = spark.createDataFrame([("l", i, "insert", f"r{i}", f"t{i}", "me", "p") for i in range(5)], "log string, ord int, operation string, record_id string, timestamp string, actor string, payload string")
+    log = lifecycle.append(rows).cache()
+    head = log.where("seq = 2").select("log", "seq", "hash")
+    other = lifecycle.append(rows.where("ord = 0"), head)
+    assert tuple(lifecycle.verify(log.union(other)).select("entries", "first_break").first()) == (6, 4)
