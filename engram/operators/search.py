@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ from engram.functions import lexical, vector
 from engram.functions.filters import capability_gate, compile_filter
 from engram.session import materialise, visible_to_workers
 
-MOST_QUERY_BYTES = 64 << 20
+MOST_QUERY_BYTES = 16 << 20
+STEP = 1024  # rows multiplied at a time
+TILE = 1 << 20  # numbers of a product
 COHERENT = 200
 
 
@@ -94,16 +97,30 @@ def _distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.abs(q[:, None] - x[None]).sum(axis=2)
 
 
-def _in_steps(batches: Iterator[pa.RecordBatch], n_queries: int, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, vectors) of so few rows at a time that a product with all queries stays small."""
+def _in_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(keys, vectors) of at most ``STEP`` rows at a time."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.array(batch.column(0).to_pylist(), dtype=object)
-        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
-        step = max(1, (1 << 22) // max(1, n_queries * (x.shape[1] if metric in ("euclidean", "manhattan") else 1)))
-        for i in range(0, len(x), step):
-            yield keys[i : i + step], x[i : i + step]
+        for i in range(0, batch.num_rows, STEP):
+            part = batch.slice(i, STEP)
+            yield part.column(0), part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+
+
+def _tiles(metric: str, n: int, x: np.ndarray) -> Iterator[slice]:
+    """The ``n`` queries in ranges so short that a product with the vectors stays small."""
+    step = max(1, TILE // (x.size if metric in ("euclidean", "manhattan") else len(x)))
+    for i in range(0, n, step):
+        yield slice(i, min(n, i + step))
+
+
+def _nearest(d: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` nearest of each row's candidates; ties at the edge go by name."""
+    if d.shape[1] <= k:
+        return d, names
+    at = np.argpartition(d, k - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(d, at, 1).max(axis=1)
+    for r in np.flatnonzero((d == edge[:, None]).sum(axis=1) > 1):
+        at[r] = sorted(np.flatnonzero(d[r] <= edge[r]), key=lambda c, r=r: (d[r, c], names[r, c]))[:k]
+    return np.take_along_axis(d, at, 1), np.take_along_axis(names, at, 1)
 
 
 def _by_blocks(records: DataFrame, queries: DataFrame, kernel: Callable, schema: str, key: str, block_bytes: int) -> DataFrame:
@@ -118,8 +135,11 @@ def _by_blocks(records: DataFrame, queries: DataFrame, kernel: Callable, schema:
 
     def read(block: DataFrame):
         found = block.toArrow()
-        ids = found.column("query_id").to_pylist()
-        return spark.sparkContext.broadcast((ids, np.array(found.column("vector").to_pylist(), dtype=np.float64).reshape(len(ids), -1 if ids else 0)))
+        ids, vectors = (found.column(c).combine_chunks() for c in ("query_id", "vector"))
+        if vectors.null_count or len(pc.unique(vectors.value_lengths())) > 1:
+            raise invalid("the queries' vectors must have one length")
+        values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return spark.sparkContext.broadcast((ids, values.reshape(len(ids), -1 if len(ids) else 0)))
 
     size = asked.agg(F.sum(8 * F.size("vector") + 32)).first()[0] or 0
     if size <= block_bytes:
@@ -147,21 +167,32 @@ def batch_knn(records: DataFrame, queries: DataFrame, k: int, metric: str = "cos
     def kernel(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best_d, best_k = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=object)
-            for keys, x in _in_steps(batches, len(ids), metric) if ids else ():
-                d = np.hstack([best_d, _distances(metric, x, q)])
-                names = np.hstack([best_k, np.broadcast_to(keys, (len(ids), len(keys)))])
-                if d.shape[1] > k:
-                    at = np.argpartition(d, k - 1, axis=1)[:, :k]
-                    edge = np.take_along_axis(d, at, 1).max(axis=1)
-                    if (ties := (d == edge[:, None]).sum(axis=1) > 1).any():  # ties at the edge go by key
-                        for r in np.flatnonzero(ties):
-                            at[r] = sorted(range(d.shape[1]), key=lambda c, r=r, d=d, names=names: (d[r, c], names[r, c]))[:k]
-                    d, names = np.take_along_axis(d, at, 1), np.take_along_axis(names, at, 1)
+            best_d, best_k = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
+            for told, x in _in_steps(batches) if len(ids) else ():
+                whole = pa.types.is_integer(told.type) and not told.null_count
+                keys = told.to_numpy(zero_copy_only=False) if whole else np.array(told.to_pylist(), dtype=object)
+                width = best_d.shape[1]
+                if width < k or best_k.dtype != keys.dtype:  # all queries get as many rows, until they have k
+                    grown = min(k, width + len(keys)), np.result_type(best_k, keys) if width else keys.dtype
+                    d, names = np.zeros((len(ids), grown[0])), np.zeros((len(ids), grown[0]), dtype=grown[1])
+                else:
+                    d, names = best_d, best_k
+                for tile in _tiles(metric, len(ids), x):
+                    new = _distances(metric, x, q[tile])
+                    rows = np.arange(tile.start, tile.stop)
+                    if d is best_d:  # a query with nothing nearer or as near stays as it is
+                        better = np.flatnonzero(~(new > best_d[tile].max(axis=1)[:, None]).all(axis=1))
+                        rows, new = rows[better], new[better]
+                    if len(rows):
+                        both = np.hstack([best_k[rows], np.broadcast_to(keys, (len(rows), len(keys)))]) if width else np.broadcast_to(keys, (len(rows), len(keys)))
+                        d[rows], names[rows] = _nearest(np.hstack([best_d[rows], new]), both, k)
                 best_d, best_k = d, names
             n = best_d.shape[1]
-            if n and len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array([x for x in ids for _ in range(n)], arrow[0]), pa.array(best_k.ravel().tolist(), arrow[1]), pa.array(best_d.ravel())], ["query_id", key, "distance"])
+            for i in range(0, len(ids) if n else 0, STEP * 16):
+                some = slice(i, i + STEP * 16)
+                of = pa.array(np.repeat(np.arange(len(ids))[some], n))
+                names = best_k[some].ravel()
+                yield pa.RecordBatch.from_arrays([ids.take(of).cast(arrow[0]), pa.array(names.tolist() if names.dtype == object else names, arrow[1]), pa.array(best_d[some].ravel())], ["query_id", key, "distance"])
 
         return run
 
@@ -179,12 +210,13 @@ def batch_above(records: DataFrame, queries: DataFrame, similarity: float, metri
     def kernel(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            for keys, x in _in_steps(batches, len(ids), metric) if ids else ():
-                d = _distances(metric, x, q)
-                alike = 1 - d if metric == "cosine" else -d if metric == "dotProduct" else 1 / (1 + d)
-                at, of = np.nonzero(alike >= similarity)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], arrow[0]), pa.array(keys[of].tolist(), arrow[1]), pa.array(alike[at, of])], ["query_id", key, "similarity"])
+            for keys, x in _in_steps(batches) if len(ids) else ():
+                for tile in _tiles(metric, len(ids), x):
+                    d = _distances(metric, x, q[tile])
+                    alike = 1 - d if metric == "cosine" else -d if metric == "dotProduct" else 1 / (1 + d)
+                    at, of = np.nonzero(alike >= similarity)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + tile.start)).cast(arrow[0]), keys.take(pa.array(of)).cast(arrow[1]), pa.array(alike[at, of])], ["query_id", key, "similarity"])
 
         return run
 

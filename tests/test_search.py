@@ -1,4 +1,8 @@
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from engram.errors import EngineError
@@ -94,3 +98,40 @@ def test_arguments():
             Search([1.0], **bad).check()
     with pytest.raises(EngineError, match="DIMENSION"):
         Search([1.0]).check(2)
+
+
+@pytest.mark.parametrize("n, width", [(1000, 8), (20000, 64)])
+def test_batch_knn_memory_of_a_task(spark, monkeypatch, n, width):
+    """What a task holds beside the queries and their nearest rows doesn't grow with either table."""
+    held = []
+    monkeypatch.setattr("engram.operators.search._by_blocks", lambda r, q, kernel, *rest: held.append(kernel) or spark.createDataFrame([], "query_id long, id long, distance double"))
+    df = spark.createDataFrame([], "id long, vector array<float>")
+    batch_knn(df, df.withColumnRenamed("id", "query_id"), 5)
+    rng = np.random.default_rng(n)
+    q, x = rng.standard_normal((n, width)), rng.standard_normal((3000, width)).astype(np.float32)
+    batch = pa.record_batch([pa.array(np.arange(3000)), pa.ListArray.from_arrays(pa.array(np.arange(3001, dtype=np.int32) * width), pa.array(x.ravel()))], ["id", "vector"])
+    run = held[0](SimpleNamespace(value=(pa.array(np.arange(n)), q)))
+    tracemalloc.start()
+    try:
+        near = sum(b.num_rows for b in run(iter([batch, batch.slice(0, 0)])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert near == 5 * n and peak < (100 << 20) + 5 * n * 100
+
+
+def test_batch_knn_ties_and_names(spark):
+    """Many equal distances, names of text, fewer rows than ``k`` in a batch: as sorting all pairs by distance and name."""
+    rng = np.random.default_rng(3)
+    vectors = [[float(v) for v in rng.integers(0, 2, 3)] for _ in range(90)]
+    df = spark.createDataFrame([(f"n{i:02d}", v) for i, v in enumerate(vectors)], "id string, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", v) for i, v in enumerate(vectors[:12])], "query_id string, vector array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = batch_knn(df, asked, 4, "manhattan").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    told = {(r["query_id"], r["rank"]): r["id"] for r in found}
+    for i, v in enumerate(vectors[:12]):
+        order = sorted(range(90), key=lambda j, v=v: (sum(abs(a - b) for a, b in zip(v, vectors[j], strict=True)), j))
+        assert [told[f"q{i}", n] for n in range(1, 5)] == [f"n{j:02d}" for j in order[:4]]
