@@ -664,3 +664,22 @@ def test_mix(spark):
     assert finishes == sorted(finishes)
     assert mixing.mix(df.limit(0)).count() == 0
     assert sum(r["taken"] for r in mixing.taken_per_document(mixing.mix(df)).collect()) == end
+
+
+def test_ngram_join_reads_one_of_equal_texts(spark, monkeypatch):
+    """Copies in other tasks are no texts of their own: nothing of them is sent to the later passes, unless they share a doc_id or have none."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(60)]
+    near = texts[0].rsplit(" ", 1)[0] + " other"  # links with the first text and its copies
+    rows = [(100 * k + i if i != 7 else None, t) for k in range(4) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([*rows, (999, near)], 4), "doc_id long, text string")
+    steps = {}
+
+    def keep(df, name, write=ngram_join.materialise):
+        steps[name] = write(df, name)
+        return steps[name]
+
+    monkeypatch.setattr(ngram_join, "materialise", keep)
+    out = {(r["doc_id"], r["component_id"]) for r in ngram_join.join(docs).collect()}
+    assert steps["alive"].count() == 3  # the two that are near each other, and the one without doc_id
+    assert out == {(100 * k + i, i) for k in range(4) for i in range(60) if i != 7} | {(None, None), (999, 0)}
